@@ -15,8 +15,8 @@ from postlake.functions.classify import extract_skills, role_family
 from postlake.functions.places import resolve_folded_place
 from postlake.functions.salary import evaluate_amounts
 from postlake.functions.text import (
-    as_column, clean_text, description_text, fold_accents, lookup, nfkc, repair_mojibake,
-    strip_tags, tidy, unescape_html,
+    clean_text, description_text, fold_accents, let, lookup, nfkc, repair_mojibake,
+    tidy, unescape_html,
 )
 from postlake.functions.titles import (
     display_title, is_placeholder_employer, neutral_employer, organization_key, title_key,
@@ -40,7 +40,7 @@ _MARK = "\u0001"
 
 
 def _kind(value: Column) -> Column:
-    """First letter of the variant's type: S(tring) O(bject) A(rray) B(igint/oolean) D V(oid)."""
+    """Type name of a variant, such as STRING, OBJECT<...>, ARRAY<...>, BIGINT or VOID."""
     return F.schema_of_variant(value)
 
 
@@ -48,37 +48,58 @@ def _get(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
+def _is_object(value: Column) -> Column:
+    return _kind(value).startswith("OBJECT")
+
+
 def _scalar(value: Column) -> Column:
     """Text of a string or number; NULL for anything else."""
-    kind = _kind(value)
-    return F.when(
-        ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID")),
-        F.try_variant_get(value, "$", "string"),
+    return let(
+        value,
+        lambda v: F.when(~_kind(v).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(v, "$", "string")),
     )
 
 
 def _truthy(value: Column) -> Column:
     """The value unless it is null, '', 0, false, {} or []."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(F.is_variant_null(value) | text.isin("", "0", "false", "{}", "[]"), None).otherwise(value)
+    return let(
+        value,
+        lambda v: F.when(
+            ~F.coalesce(F.is_variant_null(v) | F.to_json(v).isin('""', "0", "false", "{}", "[]"), F.lit(True)), v
+        ),
+    )
 
 
 def _named(value: Column) -> Column:
     """An object stands for its name, value or @value, whichever is filled first."""
-    return F.when(
-        _kind(value).startswith("OBJECT"),
-        F.coalesce(
-            _truthy(_get(value, "$.name")), _truthy(_get(value, "$.value")),
-            _truthy(_get(value, "$['@value']")),
-        ),
-    ).otherwise(value)
+    return let(
+        value,
+        lambda v: F.when(
+            _is_object(v),
+            F.coalesce(_truthy(_get(v, "$.name")), _truthy(_get(v, "$.value")), _truthy(_get(v, "$['@value']"))),
+        ).otherwise(v),
+    )
 
 
-def _first_item(value: Column, depth: int = 3) -> Column:
+def _items(value: Column) -> Column:
+    """The items of a list, or the value itself as the only item."""
+    return let(
+        value,
+        lambda v: F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        .otherwise(F.array(v)),
+    )
+
+
+def _first_item(value: Column) -> Column:
     """For a list, its first string or object; other values stay as they are."""
-    items = F.try_variant_get(value, "$", "array<variant>")
-    fit = F.filter(items, lambda v: _kind(v).startswith("OBJECT") | (_kind(v) == "STRING"))
-    return F.when(_kind(value).startswith("ARRAY"), F.get(fit, 0)).otherwise(value)
+
+    def pick(v: Column) -> Column:
+        fit = F.filter(
+            F.try_variant_get(v, "$", "array<variant>"), lambda x: _is_object(x) | (_kind(x) == "STRING")
+        )
+        return F.when(_kind(v).startswith("ARRAY"), F.get(fit, 0)).otherwise(v)
+
+    return let(value, pick)
 
 
 def raw_text(value: Column) -> Column:
@@ -87,21 +108,20 @@ def raw_text(value: Column) -> Column:
 
 
 def identifier_text(value: Column) -> Column:
-    """A string or integer, or an object's ``value`` (its ``name`` is usually the employer)."""
+    """A string or integer, or an object's ``value`` (its ``name`` is usually the employer);
+    for a list the first item that gives one."""
 
     def one(v: Column) -> Column:
         inner = F.coalesce(_not_void(_get(v, "$.value")), _get(v, "$['@value']"))
-        return F.when(_kind(v).startswith("OBJECT"), F.try_variant_get(inner, "$", "string")).otherwise(
-            F.when(_kind(v).isin("STRING", "BIGINT"), F.try_variant_get(v, "$", "string"))
+        return F.when(_is_object(v), F.try_variant_get(inner, "$", "string")).when(
+            _kind(v).isin("STRING", "BIGINT"), F.try_variant_get(v, "$", "string")
         )
 
-    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), one)
-    kept = F.filter(items, lambda t: t.isNotNull() & (F.trim(t) != ""))
-    return F.when(_kind(value).startswith("ARRAY"), F.get(kept, 0)).otherwise(one(value))
+    return F.get(F.filter(F.transform(_items(value), one), lambda t: F.trim(t) != ""), 0)
 
 
 def _not_void(value: Column) -> Column:
-    return F.when(~F.is_variant_null(value), value)
+    return let(value, lambda v: F.when(~F.is_variant_null(v), v))
 
 
 def parse_date(text: Column) -> Column:
@@ -141,24 +161,26 @@ def _tidy_texts(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
     return df.withColumns({name: tidy(F.col(name)) for name in raw})
 
 
+def _is_filled_object(value: Column) -> Column:
+    return F.coalesce(_is_object(value), F.lit(False)) & (F.to_json(value) != "{}")
+
+
 def _address_texts(df: DataFrame) -> DataFrame:
     """``places``: array of address structs, with text repaired for all places in one pass.
 
     The parts of every place are joined into one marked string, cleaned once per row, and
     split back, because Python steps cannot run inside array lambdas.
     """
-    raw = F.col("p_jobLocation")
-    items = F.when(_kind(raw).startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")).otherwise(
-        F.array(_truthy(raw))
-    )
-    places = F.filter(items, lambda v: v.isNotNull() & _kind(v).startswith("OBJECT"))
+    df = df.withColumn("place_items", F.filter(_items(F.col("p_jobLocation")), _is_filled_object))
+    places = F.col("place_items")
 
     def parts(place: Column) -> Column:
-        inner = _get(place, "$.address")
-        address = F.when(_kind(inner).startswith("OBJECT"), inner).otherwise(place)
         names = ("streetAddress", "addressLocality", "addressRegion", "addressCountry")
-        return F.array_join(
-            F.array(*[F.coalesce(raw_text(_get(address, f"$.{n}")), F.lit("")) for n in names]), _MARK
+        return let(
+            let(_get(place, "$.address"), lambda inner: F.when(_is_object(inner), inner).otherwise(place)),
+            lambda address: F.array_join(
+                F.array(*[F.coalesce(raw_text(_get(address, f"$.{n}")), F.lit("")) for n in names]), _MARK
+            ),
         )
 
     df = df.withColumn("place_text", F.array_join(F.transform(places, parts), _MARK * 2))
@@ -171,15 +193,27 @@ def _address_texts(df: DataFrame) -> DataFrame:
         F.split("place_text", _MARK * 2).alias("t"), F.split("place_folded", _MARK * 2).alias("f")
     )
 
-    def resolved(pair: Column) -> Column:
+    def parted(pair: Column) -> Column:
         text, folded = F.split(pair["t"], _MARK), F.split(pair["f"], _MARK)
-        street, locality, region, country = [tidy(F.get(text, i)) for i in range(4)]
-        place = resolve_folded_place(locality, region, F.trim(F.get(folded, 1)), F.trim(F.get(folded, 2)))
+        names = ("street", "locality", "region", "country")
         return F.struct(
-            street.alias("street"), locality.alias("locality"), region.alias("region"),
-            country.alias("country"), place["city"].alias("city"), place["province"].alias("province"),
+            *[tidy(F.get(text, i)).alias(n) for i, n in enumerate(names)],
+            F.trim(F.get(folded, 1)).alias("locality_folded"), F.trim(F.get(folded, 2)).alias("region_folded"),
+        )
+
+    def placed(p: Column) -> Column:
+        place = resolve_folded_place(p["locality"], p["region"], p["locality_folded"], p["region_folded"])
+        return let(
+            place,
+            lambda r: F.struct(
+                p["street"].alias("street"), p["locality"].alias("locality"), p["region"].alias("region"),
+                p["country"].alias("country"), r["city"].alias("city"), r["province"].alias("province"),
+            ),
         )
 
+    def resolved(pair: Column) -> Column:
+        return let(parted(pair), placed)
+
     return df.withColumn(
         "places", F.when(F.col("place_count") > 0, F.transform(both, resolved)).otherwise(F.array())
     )
@@ -198,7 +232,7 @@ def normalize_postings(
     df = open_postings(df, json_col)
     salary = F.col("p_baseSalary")
     pay_value = _get(salary, "$.value")
-    pay_object = _kind(pay_value).startswith("OBJECT")
+    pay_object = _is_object(pay_value)
     education = _first_education(F.col("p_educationRequirements"))
     df = _tidy_texts(
         df,
@@ -217,12 +251,8 @@ def normalize_postings(
         },
     )
     df = df.withColumn("t_identifier", clean_text(identifier_text(F.col("p_identifier"))))
-    described = F.col("p_description")
-    df = df.withColumn(
-        "t_description",
-        F.when(_kind(described) == "STRING", F.try_variant_get(described, "$", "string"))
-        .otherwise(clean_text(repair_mojibake(unescape_html(raw_text(described))))),
-    )
+    # A string is taken as written; other shapes go through the text coercion.
+    df = df.withColumn("t_description", raw_text(F.col("p_description")))
     df = df.withColumn("t_description", description_text("t_description"))
     df = _address_texts(df)
     return _rules(df, page_url, domain, captured_at, position)
@@ -232,12 +262,9 @@ def _first_education(raw: Column) -> Column:
     """Credential text of the first requirement that has one."""
 
     def one(v: Column) -> Column:
-        inner = F.when(_kind(v).startswith("OBJECT"), raw_text(_get(v, "$.credentialCategory")))
-        return F.coalesce(inner, F.when(~_kind(v).startswith("OBJECT"), raw_text(v)))
+        return F.when(_is_object(v), raw_text(_get(v, "$.credentialCategory"))).otherwise(raw_text(v))
 
-    items = F.transform(F.try_variant_get(raw, "$", "array<variant>"), one)
-    first = F.get(F.filter(items, lambda t: t.isNotNull() & (F.trim(t) != "")), 0)
-    return F.when(_kind(raw).startswith("ARRAY"), first).otherwise(one(raw))
+    return F.get(F.filter(F.transform(_items(raw), one), lambda t: F.trim(t) != ""), 0)
 
 
 def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position: str) -> DataFrame:
@@ -346,7 +373,7 @@ def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position
     )
     df = df.withColumn("is_valid", F.size("invalid_reasons") == 0)
     helpers = [n for n in df.columns if n.startswith(("t_", "p_"))] + [
-        "employer", "places", "place_text", "place_folded", "place_count", "countries", "pay",
+        "employer", "places", "place_items", "place_text", "place_folded", "place_count", "countries", "pay",
         "posted", "through", "captured_date", "street",
     ]
     df = df.drop(*helpers, *( ["page_url"] if page_url != "page_url" else []))
@@ -356,21 +383,33 @@ def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position
 def _structured_pay() -> Column:
     """Pay struct of ``baseSalary``: scalar or object value, unit text, currency spellings."""
     salary = F.col("p_baseSalary")
-    is_object = _kind(salary).startswith("OBJECT")
     value = _get(salary, "$.value")
-    nested = _kind(value).startswith("OBJECT")
-    low, high = _not_void(_get(value, "$.minValue")), _not_void(_get(value, "$.maxValue"))
-    neither = low.isNull() & high.isNull()
-    exact = _get(value, "$.value")
-    minimum = F.when(nested, _amount(F.when(neither, exact).otherwise(low))).otherwise(_amount(value))
-    maximum = F.when(nested, _amount(F.when(neither, exact).otherwise(high))).otherwise(_amount(value))
+
+    def bounds(v: Column) -> Column:
+        nested = F.struct(
+            _not_void(_get(v, "$.minValue")).alias("low"), _not_void(_get(v, "$.maxValue")).alias("high"),
+            _get(v, "$.value").alias("exact"),
+        )
+        both = F.struct(v.alias("low"), v.alias("high"), v.alias("exact"))
+        return F.when(_is_object(v), nested).otherwise(both)
+
+    def amounts(b: Column) -> Column:
+        neither = b["low"].isNull() & b["high"].isNull()
+        return F.struct(
+            _amount(F.when(neither, b["exact"]).otherwise(b["low"])).alias("low"),
+            _amount(F.when(neither, b["exact"]).otherwise(b["high"])).alias("high"),
+        )
+
+    found = F.when(_is_object(salary), let(let(value, bounds), amounts))
     unit = F.upper(F.coalesce("t_unit", "t_unit2"))
-    period = F.when(unit.isin(*PAY_UNITS), unit).otherwise("UNKNOWN")
     code = F.upper("t_currency")
-    currency = F.coalesce(lookup(CURRENCY_ALIASES, code), code)
-    return evaluate_amounts(
-        F.when(is_object, minimum), F.when(is_object, maximum), currency,
-        F.when(is_object, period).otherwise("UNKNOWN"),
+    given = F.struct(
+        found.alias("amounts"), F.coalesce(lookup(CURRENCY_ALIASES, code), code).alias("currency"),
+        F.when(unit.isin(*PAY_UNITS), unit).otherwise("UNKNOWN").alias("period"),
+    )
+    return let(
+        given,
+        lambda g: evaluate_amounts(g["amounts"]["low"], g["amounts"]["high"], g["currency"], g["period"]),
     )
 
 

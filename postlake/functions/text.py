@@ -1,21 +1,18 @@
-"""Text cleaning and folding.
+"""Text cleaning and folding, all inside the JVM.
 
-Spark has no Unicode ``normalize``. Rows that need it are rare, so the expressions below do
-the common work in the JVM and hand only the rows holding such characters to an Arrow UDF
-(every other row passes NULL, which costs nothing to normalize).
+Spark has no Unicode ``normalize`` expression, but its own class path carries ICU (used for
+collations), whose compatibility forms are reachable through ``reflect``. Rows that need them
+are rare: a character class decides, and all other rows take plain expressions.
 """
 
 from __future__ import annotations
 
-import html
 import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from postlake.rules.words import MISSING_MARKERS
 
@@ -45,7 +42,10 @@ def any_phrase(text: Column, phrases) -> Column:
 
 
 def literal_map(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    """A constant map (folded once at planning) of text keys to text or whole numbers."""
+    text = "\n".join(f"{k}\t{v}" for k, v in table.items())
+    pairs = F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t"))
+    return pairs.cast("map<string,int>") if isinstance(next(iter(table.values())), int) else pairs
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -104,6 +104,13 @@ def _needs_fold() -> str:
     return f"[{_class_of(codes)}]"
 
 
+@lru_cache
+def _combining() -> str:
+    """Class of combining characters."""
+    codes = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    return f"[{_class_of(codes)}]"
+
+
 @lru_cache
 def _needs_nfkc() -> str:
     """Class of characters NFKC may change (NBSP is left to the whitespace rule)."""
@@ -119,67 +126,61 @@ def _needs_nfkc() -> str:
     return f"[{_class_of(codes)}]"
 
 
-# --- Arrow UDFs ----------------------------------------------------------------------------
-
+# --- ICU and encodings -----------------------------------------------------------------------
 
-@F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+_ICU = "com.ibm.icu.text.Normalizer"
+# Windows-1252 printable characters and the bytes they stand for, by rule.
+_CP1252 = [(bytes([b]).decode("cp1252"), chr(b)) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_PRINTED, _BYTES = ("".join(chars) for chars in zip(*_CP1252))
 
 
-@F.pandas_udf(StringType())
-def _fold(values: pd.Series) -> pd.Series:
-    def fold(value: str) -> str:
-        parts = unicodedata.normalize("NFKD", value)
-        return "".join(c for c in parts if not unicodedata.combining(c)).casefold()
+def _icu(method: str, text: Column) -> Column:
+    return F.when(text.isNotNull(), F.reflect(F.lit(_ICU), F.lit(method), text, F.lit(True)))
 
-    return values.map(fold, na_action="ignore")
 
-
-@F.pandas_udf(StringType())
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def _cp1252_to_utf8(values: pd.Series) -> pd.Series:
-    def repair(value: str) -> str:
-        try:
-            return value.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            return value
-
-    return values.map(repair, na_action="ignore")
+def nfkc(text: Column | str) -> Column:
+    return let(as_column(text), lambda t: F.when(t.rlike(_needs_nfkc()), _icu("compose", t)).otherwise(t))
 
 
-def _only_where(udf, text: Column, trigger: Column) -> Column:
-    """Apply ``udf`` to the rows that need it and keep the others as they are."""
-    return F.coalesce(udf(F.when(trigger, text)), text)
+def unescape_html(text: Column | str) -> Column:
+    """HTML entities to characters: numeric ones (with the Windows-1252 reading of 128-159)
+    and the named ones of HTML 4; a missing semicolon is tolerated on the common names."""
 
+    def decode(t: Column) -> Column:
+        closed = F.regexp_replace(t, "&(amp|lt|gt|quot|nbsp)(?![A-Za-z0-9;])", "&$1;")
+        closed = F.replace(closed, F.lit("&apos;"), F.lit("&#39;"))
+        plain = F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), closed)
+        remapped = F.when(
+            t.rlike("(?i)&#(1[2-5][0-9]|x[89][0-9a-f]);"), F.translate(plain, _BYTES, _PRINTED)
+        ).otherwise(plain)
+        return F.when(t.contains("&"), remapped).otherwise(t)
 
-# --- column functions ----------------------------------------------------------------------
+    return let(as_column(text), decode)
 
 
-def nfkc(text: Column | str) -> Column:
-    text = as_column(text)
-    return _only_where(_nfkc, text, text.rlike(_needs_nfkc()))
+def repair_mojibake(text: Column | str) -> Column:
+    """Undo UTF-8 that was decoded as Windows-1252, where telltale sequences are present and the
+    round trip is clean."""
 
+    def repair(t: Column) -> Column:
+        single = F.translate(t, _PRINTED, _BYTES)
+        back = F.try_validate_utf8(F.encode(single, "ISO-8859-1").cast("string"))
+        one_byte = single.rlike("^[\\x{00}-\\x{FF}]*$") & ~t.rlike("[\\x{80}-\\x{9F}]")
+        broken = t.rlike("[ÂÃ][\\x{80}-¿]|â€")
+        return F.when(broken & one_byte, F.coalesce(back, t)).otherwise(t)
 
-def unescape_html(text: Column | str) -> Column:
-    text = as_column(text)
-    return _only_where(_unescape, text, text.contains("&"))
+    return let(as_column(text), repair)
 
 
-def repair_mojibake(text: Column | str) -> Column:
-    """Undo UTF-8 that was decoded as Windows-1252, where telltale sequences are present."""
-    text = as_column(text)
-    return _only_where(_cp1252_to_utf8, text, text.rlike("[ÂÃ][\\x{80}-¿]|â€"))
+# --- column functions ----------------------------------------------------------------------
 
 
 def tidy(text: Column) -> Column:
     """Whitespace runs become one space, ends trimmed, 'no value' words become NULL."""
-    plain = F.trim(F.regexp_replace(text, SPACES, " "))
-    return F.when(~F.lower(plain).isin(*MISSING_MARKERS), plain)
+    return let(
+        F.trim(F.regexp_replace(text, SPACES, " ")),
+        lambda t: F.when(~F.lower(t).isin(*MISSING_MARKERS), t),
+    )
 
 
 def clean_text(value: Column | str) -> Column:
@@ -189,10 +190,14 @@ def clean_text(value: Column | str) -> Column:
 
 def fold_accents(value: Column | str) -> Column:
     """Accent-free, lower-case text with punctuation kept ('' for NULL)."""
-    text = F.coalesce(as_column(value), F.lit(""))
     source, target = _latin_pairs()
-    ordinary = F.lower(F.translate(text, source, target))
-    return F.coalesce(_fold(F.when(text.rlike(_needs_fold()), text)), ordinary)
+
+    def fold(t: Column) -> Column:
+        bare = F.regexp_replace(_icu("decompose", t), _combining(), "")
+        special = F.replace(F.lower(F.replace(bare, F.lit("ẞ"), F.lit("ss"))), F.lit("ß"), F.lit("ss"))
+        return F.when(t.rlike(_needs_fold()), special).otherwise(F.lower(F.translate(t, source, target)))
+
+    return let(F.coalesce(as_column(value), F.lit("")), fold)
 
 
 def squeeze(folded: Column) -> Column:
@@ -211,5 +216,4 @@ def strip_tags(text: Column) -> Column:
 
 def description_text(raw: Column | str) -> Column:
     """Plain text of an HTML description, entities decoded twice; NULL when nothing is left."""
-    text = strip_tags(unescape_html(unescape_html(raw)))
-    return F.when(text != "", text)
+    return F.nullif(strip_tags(unescape_html(unescape_html(raw))), F.lit(""))
