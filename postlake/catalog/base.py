@@ -64,8 +64,9 @@ def query(name: str, sql: str | None = None, **views: str):
         if sql is not None:
             heads = ", ".join(f"{n} as ({twin(text)})" for n, text in views.items())
             body = twin(sql).strip()
-            if heads and body.lower().startswith("with "):
-                SQL[name] = f"with {heads}, {body[5:]}"
+            start = "with recursive " if body.startswith("with recursive ") else "with "
+            if heads and body.startswith(start):
+                SQL[name] = f"{start}{heads}, {body[len(start):]}"
             else:
                 SQL[name] = f"with {heads} {body}" if heads else body
         return build
