@@ -13,6 +13,14 @@ from postlake.sources import feeds, publish, synthetic
 PARALLEL = 8  # one small file is one task; CPU-heavy text jobs spread first
 
 
+def _decoded(value: str) -> str:
+    """The entities the pages use, decoded once (the ampersand last)."""
+    pairs = (("quot", "chr(34)"), ("copy", "'©'"), ("middot", "'·'"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'"))
+    for name, char in pairs:
+        value = f"replace({value}, '&{name};', {char})"
+    return value
+
+
 @query("clean_text", r"""
     select doc_id, case when lower(c) in ('', '-', 'n/a', 'na', 'none', 'null', 'not specified') then null else c end as cleaned
     from (select doc_id, trim(regexp_replace(nfc_normalize(text), '[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x1c-\x1f\x0b]+', ' ', 'g')) as c from documents)""")
@@ -21,7 +29,7 @@ def _(t):
 
 
 @query("normalize_for_matching", """
-    select conv_id, turn, trim(regexp_replace(strip_accents(lower(text)), '[^0-9a-z+#]+', ' ', 'g')) as folded from conversations""")
+    select conv_id, turn, trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^0-9a-z+#]+', ' ', 'g')) as folded from conversations""")
 def _(t):
     return t.conversations.repartition(PARALLEL).select("conv_id", "turn", text.normalize_for_matching("text").alias("folded"))
 
@@ -29,8 +37,7 @@ def _(t):
 @query("description_text", r"""
     select page_id, length(d) as description_length, sha1(d) as description_sha1 from (
         select page_id, nullif(trim(regexp_replace(regexp_replace(html_unescape(html_unescape(html)), '<[^>]+>', ' ', 'g'), '[\s\x{a0}\x{2000}-\x{200a}\x{85}\x1c-\x1f\x0b]+', ' ', 'g')), '') as d
-        from (select page_id, html from pages))""".replace("html_unescape(html_unescape(html))",
-        "replace(replace(replace(replace(replace(html, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"))
+        from (select page_id, html from pages))""".replace("html_unescape(html_unescape(html))", _decoded(_decoded("html"))))
 def _(t):
     d = text.description_text("html")
     return t.pages.repartition(PARALLEL).select("page_id", d.alias("d")).select(
@@ -123,7 +130,7 @@ def _(t):
         .when(q < 20, F.concat(F.lit("Kurang dari "), q.cast("string"), F.lit(" tahun")))
         .otherwise(F.concat(F.lit("Minimal "), q.cast("string"), F.lit(" years")))
     )
-    out = t.lineitem.select("l_orderkey", "l_linenumber", attributes.parse_experience(said).alias("e"))
+    out = t.lineitem.repartition(PARALLEL).select("l_orderkey", "l_linenumber", attributes.parse_experience(said).alias("e"))
     return out.select("l_orderkey", "l_linenumber", "e.*")
 
 
@@ -134,7 +141,7 @@ def _(t):
     unit = F.when(F.col("l_returnflag") == "A", "hari").when(F.col("l_returnflag") == "R", "minggu").otherwise("bulan")
     said = F.concat(F.when(F.col("l_linestatus") == "O", "Urgent").otherwise(""), F.col("l_quantity").cast("int").cast("string"),
                     F.lit(" "), unit, F.lit(" yang lalu"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", attributes.parse_posting_age(said).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
+    return t.lineitem.repartition(PARALLEL).select("l_orderkey", "l_linenumber", attributes.parse_posting_age(said).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
 
 
 @query("employment_and_education", """
@@ -155,7 +162,7 @@ def _(t):
 def _(t):
     tags = F.array(F.when(F.col("o_orderstatus") == "F", " SQL "), F.col("o_orderpriority"), F.when(F.col("o_totalprice") > 200000, "+3"),
                    F.when(F.col("o_totalprice") > 300000, "Remote/Dari rumah"), F.lit("Perusahaan Premium"), F.col("o_orderpriority"))
-    return t.orders.select("o_orderkey", attributes.split_card_tags(tags).alias("c")).select(
+    return t.orders.repartition(PARALLEL).select("o_orderkey", attributes.split_card_tags(tags).alias("c")).select(
         "o_orderkey", F.array_join("c.skills", ",").alias("skills"), F.col("c.hidden_count").alias("hidden_count"),
         F.col("c.work_arrangement").alias("work_arrangement"))
 
@@ -358,7 +365,7 @@ def _(t):
 
 @query("snapshot_features", """
     select o_orderkey, n_name as city, 'Banten' as province, case when o_orderstatus = 'P' then 0 else 1 end as salary_visible,
-           case when o_orderstatus = 'P' then 0 else (floor(o_totalprice / 10000) + 1) * 1000000 end as salary_min
+           case when o_orderstatus = 'P' then 0 else cast(floor(o_totalprice / 10000) + 1 as bigint) * 1000000 end as salary_min
     from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""")
 def _(t):
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -2,7 +2,7 @@
 
 Spark has no Unicode ``normalize`` expression, but its own class path carries ICU (used for
 collations), whose compatibility forms are reachable through ``reflect``. Rows that need them
-are rare: a character class decides, and all other rows take plain expressions.
+are rare: character classes decide, and all other rows take plain expressions.
 """
 
 from __future__ import annotations
@@ -90,9 +90,23 @@ def _latin_pairs() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+# Characters ordinary Latin text is made of; anything outside gets the long class test.
+_COMMON = (*range(0x80, _LATIN_END + 1), *range(0x2010, 0x2028))
+_UNCOMMON = f"[^\\x{{0}}-\\x{{{_LATIN_END:X}}}\\x{{2010}}-\\x{{2027}}]"
+
+
+def _holds(text: Column, codes: tuple[int, ...]) -> Column:
+    """Does the text hold one of ``codes``? A short class decides for common characters; the
+    class of all others (hundreds of ranges) runs only on texts that have such characters."""
+    common = set(_COMMON)
+    near = [c for c in codes if c in common]
+    far = [c for c in codes if c not in common]
+    return text.rlike(f"[{_class_of(near)}]") | (text.rlike(_UNCOMMON) & text.rlike(f"[{_class_of(far)}]"))
+
+
 @lru_cache
-def _needs_fold() -> str:
-    """Class of characters whose folding is neither ASCII, a known Latin letter, nor a blank."""
+def _needs_fold() -> tuple[int, ...]:
+    """Characters of characters whose folding is neither ASCII, a known Latin letter, nor a blank."""
     latin = set(_latin_pairs()[0])
     codes = []
     for code in range(0x80, sys.maxunicode + 1):
@@ -101,7 +115,7 @@ def _needs_fold() -> str:
         char = chr(code)
         if unicodedata.combining(char) or _keeps(_folded(char)):
             codes.append(code)
-    return f"[{_class_of(codes)}]"
+    return tuple(codes)
 
 
 @lru_cache
@@ -112,8 +126,8 @@ def _combining() -> str:
 
 
 @lru_cache
-def _needs_nfkc() -> str:
-    """Class of characters NFKC may change (NBSP is left to the whitespace rule)."""
+def _needs_nfkc() -> tuple[int, ...]:
+    """Characters NFKC may change (NBSP is left to the whitespace rule)."""
     codes = [
         code
         for code in range(0x80, sys.maxunicode + 1)
@@ -122,8 +136,7 @@ def _needs_nfkc() -> str:
         and (unicodedata.combining(chr(code)) or unicodedata.normalize("NFKC", chr(code)) != chr(code))
     ]
     # Hangul jamo vowels and tails compose although each alone is stable.
-    codes = sorted(set(codes) | set(range(0x1161, 0x1200)))
-    return f"[{_class_of(codes)}]"
+    return tuple(sorted(set(codes) | set(range(0x1161, 0x1200))))
 
 
 # --- ICU and encodings -----------------------------------------------------------------------
@@ -139,7 +152,7 @@ def _icu(method: str, text: Column) -> Column:
 
 
 def nfkc(text: Column | str) -> Column:
-    return let(as_column(text), lambda t: F.when(t.rlike(_needs_nfkc()), _icu("compose", t)).otherwise(t))
+    return let(as_column(text), lambda t: F.when(_holds(t, _needs_nfkc()), _icu("compose", t)).otherwise(t))
 
 
 def unescape_html(text: Column | str) -> Column:
@@ -195,7 +208,7 @@ def fold_accents(value: Column | str) -> Column:
     def fold(t: Column) -> Column:
         bare = F.regexp_replace(_icu("decompose", t), _combining(), "")
         special = F.replace(F.lower(F.replace(bare, F.lit("ẞ"), F.lit("ss"))), F.lit("ß"), F.lit("ss"))
-        return F.when(t.rlike(_needs_fold()), special).otherwise(F.lower(F.translate(t, source, target)))
+        return F.when(_holds(t, _needs_fold()), special).otherwise(F.lower(F.translate(t, source, target)))
 
     return let(F.coalesce(as_column(value), F.lit("")), fold)
 
