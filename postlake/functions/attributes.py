@@ -48,7 +48,7 @@ def experience_band(low: Column, high: Column) -> Column:
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
 
 
 def parse_experience(value: Column | str, cleaned: bool = False) -> Column:

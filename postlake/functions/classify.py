@@ -21,12 +21,15 @@ def role_family_of_key(key: Column, rules=ROLE_PATTERNS, other: str = "OTHER") -
 
 def skill_pattern(name: str, pattern: str, majors=MAJOR_LIKE) -> str:
     """Whole pattern: word-like left and right boundaries, and for names that are also fields
-    of study no degree word shortly before (a bounded look-behind)."""
+    of study no degree word shortly before (a bounded look-behind).
+
+    The name is tried first, as a look-ahead, so the look-behinds run only where it occurs.
+    """
     study = ""
     if name in majors:
         words = "|".join(DEGREE_WORDS)
         study = rf"(?<!\b(?:{words})\b[^.;]{{0,{DEGREE_REACH}}})"
-    return rf"(?U)(?<![\w.+#]){study}(?:{pattern})(?![\w+#])"
+    return rf"(?U)(?=(?:{pattern})(?![\w+#]))(?<![\w.+#]){study}"
 
 
 def extract_skills(text: Column | str, skills=SKILLS, majors=MAJOR_LIKE) -> Column:

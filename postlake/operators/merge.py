@@ -116,7 +116,7 @@ def merge_records(
         old, new_jobs, ["id"], ["primary_source_id", "fingerprint", *job_values],
         primary=F.col("o.primary_source_id") == F.col("n.primary_source_id"),
     )
-    return merged_jobs, merged_records
+    return merged_jobs.drop("content_hash"), merged_records
 
 
 def unlisted_records(records: DataFrame, snapshot: DataFrame, source: str) -> DataFrame:

@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHUNK = 1 << 16
+BATCH_ROWS = 256
 RECORD = (
     "warc_filename string, warc_record_offset bigint, warc_record_length bigint, url string, "
-    "captured_at timestamp, http_status int, body string, reject_reason string"
+    "captured_at string, http_status int, body string, reject_reason string"
 )
 
 
@@ -26,11 +28,14 @@ def _members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
         return
     view, start = memoryview(content), 0
     while start < len(content):
-        member = zlib.decompressobj(31)
-        data = member.decompress(view[start:])
-        length = len(content) - start - len(member.unused_data)
-        yield start, length, data
-        start += length
+        member, parts, position = zlib.decompressobj(31), [], start
+        while not member.eof and position < len(content):
+            chunk = view[position : position + CHUNK]
+            parts.append(member.decompress(chunk))
+            position += len(chunk)
+        end = position - len(member.unused_data)
+        yield start, end - start, b"".join(parts)
+        start = end
 
 
 def _record(data: bytes) -> dict:
@@ -53,19 +58,24 @@ def split_records(files: DataFrame) -> DataFrame:
     """(path, content) rows to one row per archive record, rejects included with a reason."""
 
     def split(batches):
+        rows = []
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 for offset, length, data in _members(content):
-                    row = _record(data)
-                    row["captured_at"] = pd.to_datetime(row["captured_at"], utc=True, errors="coerce")
-                    frame = pd.DataFrame(
-                        [{"warc_filename": name, "warc_record_offset": offset, "warc_record_length": length, **row}]
-                    )
-                    frame["captured_at"] = frame["captured_at"].dt.tz_convert("UTC").dt.tz_localize(None)
-                    frame["http_status"] = frame["http_status"].astype("Int32")
-                    yield frame
-
-    return files.select("path", "content").mapInPandas(split, RECORD)
+                    place = {"warc_filename": name, "warc_record_offset": offset, "warc_record_length": length}
+                    rows.append(place | _record(data))
+                    if len(rows) == BATCH_ROWS:
+                        yield _frame(rows)
+                        rows = []
+        yield _frame(rows)
+
+    out = files.select("path", "content").mapInPandas(split, RECORD)
+    return out.withColumn("captured_at", F.try_to_timestamp("captured_at"))
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    names = [part.split()[0] for part in RECORD.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({"http_status": "Int32"})
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
