@@ -7,6 +7,8 @@ are coerced by expressions, and every rule is a column.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,95 +35,96 @@ FIELDS = (
     "employmentType", "datePosted", "validThrough", "identifier", "jobLocationType",
     "experienceRequirements", "educationRequirements",
 )
-_MARK = "\u0001"
+_MARK, _PLACE_MARK = "\u0001", "\u0002"  # between address parts, between places
 
 
 # --- coercion of polymorphic JSON -----------------------------------------------------------
 
 
-def _kind(value: Column) -> Column:
-    """Type name of a variant, such as STRING, OBJECT<...>, ARRAY<...>, BIGINT or VOID."""
-    return F.schema_of_variant(value)
+# These are SQL text rather than nested Column calls: one parsed expression per field keeps
+# plan building short.
 
+_names = count()
 
-def _get(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "variant")
 
+def _bind(value: str, body) -> str:
+    """``body`` over ``value`` bound once to a fresh lambda variable."""
+    name = f"v{next(_names)}"
+    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
 
-def _is_object(value: Column) -> Column:
-    return _kind(value).startswith("OBJECT")
 
+def _sub(value: str, path: str) -> str:
+    return f"try_variant_get({value}, '{path}', 'variant')"
 
-def _scalar(value: Column) -> Column:
-    """Text of a string or number; NULL for anything else."""
-    return let(
-        value,
-        lambda v: F.when(~_kind(v).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(v, "$", "string")),
-    )
 
+def _is(value: str, kind: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({value}), '{kind}'), false)"
 
-def _truthy(value: Column) -> Column:
+
+def _truthy(value: str) -> str:
     """The value unless it is null, '', 0, false, {} or []."""
-    return let(
-        value,
-        lambda v: F.when(
-            ~F.coalesce(F.is_variant_null(v) | F.to_json(v).isin('""', "0", "false", "{}", "[]"), F.lit(True)), v
-        ),
-    )
+    empty = """('""', '0', 'false', '{}', '[]')"""
+    return _bind(value, lambda v: f"case when not coalesce(is_variant_null({v}) or to_json({v}) in {empty}, true) then {v} end")
 
 
-def _named(value: Column) -> Column:
+def _named(value: str) -> str:
     """An object stands for its name, value or @value, whichever is filled first."""
-    return let(
+    fields = ("$.name", "$.value", '$["@value"]')
+    return _bind(
         value,
-        lambda v: F.when(
-            _is_object(v),
-            F.coalesce(_truthy(_get(v, "$.name")), _truthy(_get(v, "$.value")), _truthy(_get(v, "$['@value']"))),
-        ).otherwise(v),
+        lambda v: f"case when {_is(v, 'OBJECT')} then coalesce({', '.join(_truthy(_sub(v, f)) for f in fields)}) else {v} end",
     )
 
 
-def _items(value: Column) -> Column:
+def _items(value: str) -> str:
     """The items of a list, or the value itself as the only item."""
-    return let(
+    return _bind(
         value,
-        lambda v: F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-        .otherwise(F.array(v)),
+        lambda v: f"case when {_is(v, 'ARRAY')} then try_variant_get({v}, '$', 'array<variant>') else array({v}) end",
     )
 
 
-def _first_item(value: Column) -> Column:
+def _first_item(value: str) -> str:
     """For a list, its first string or object; other values stay as they are."""
+    x = f"x{next(_names)}"
+    return _bind(
+        value,
+        lambda v: f"case when {_is(v, 'ARRAY')} then get(filter(try_variant_get({v}, '$', 'array<variant>'), "
+        f"{x} -> {_is(x, 'OBJECT')} or {_is(x, 'STRING')}), 0) else {v} end",
+    )
 
-    def pick(v: Column) -> Column:
-        fit = F.filter(
-            F.try_variant_get(v, "$", "array<variant>"), lambda x: _is_object(x) | (_kind(x) == "STRING")
-        )
-        return F.when(_kind(v).startswith("ARRAY"), F.get(fit, 0)).otherwise(v)
 
-    return let(value, pick)
+def _scalar(value: str) -> str:
+    """Text of a string or number; NULL for anything else."""
+    return _bind(
+        value,
+        lambda v: f"case when not schema_of_variant({v}) rlike '^(OBJECT|ARRAY|VOID)' then try_variant_get({v}, '$', 'string') end",
+    )
 
 
-def raw_text(value: Column) -> Column:
-    """Text of a string, number, named object, or a list's first usable item."""
+def _raw_text(value: str) -> str:
     return _scalar(_named(_first_item(_named(value))))
 
 
-def identifier_text(value: Column) -> Column:
-    """A string or integer, or an object's ``value`` (its ``name`` is usually the employer);
-    for a list the first item that gives one."""
+def raw_text(value: str) -> Column:
+    """Text of a string, number, named object, or a list's first usable item."""
+    return F.expr(_raw_text(value))
 
-    def one(v: Column) -> Column:
-        inner = F.coalesce(_not_void(_get(v, "$.value")), _get(v, "$['@value']"))
-        return F.when(_is_object(v), F.try_variant_get(inner, "$", "string")).when(
-            _kind(v).isin("STRING", "BIGINT"), F.try_variant_get(v, "$", "string")
-        )
 
-    return F.get(F.filter(F.transform(_items(value), one), lambda t: F.trim(t) != ""), 0)
+def identifier_text(value: str) -> Column:
+    """A string or integer, or an object's ``value`` (its ``name`` is usually the employer);
+    for a list the first item that gives one."""
+    v, t = f"x{next(_names)}", f"x{next(_names)}"
+    inner = f"coalesce({_filled(_sub(v, '$.value'))}, {_sub(v, '$[\"@value\"]')})"
+    one = (
+        f"case when {_is(v, 'OBJECT')} then try_variant_get({inner}, '$', 'string') "
+        f"when {_is(v, 'STRING')} or {_is(v, 'BIGINT')} then try_variant_get({v}, '$', 'string') end"
+    )
+    return F.expr(f"get(filter(transform({_items(value)}, {v} -> {one}), {t} -> trim({t}) <> ''), 0)")
 
 
-def _not_void(value: Column) -> Column:
-    return let(value, lambda v: F.when(~F.is_variant_null(v), v))
+def _filled(value: str) -> str:
+    return _bind(value, lambda v: f"case when not is_variant_null({v}) then {v} end")
 
 
 def parse_date(text: Column) -> Column:
@@ -134,9 +137,9 @@ def parse_date(text: Column) -> Column:
     return F.try_to_date(F.coalesce(compact, ten))
 
 
-def _amount(value: Column) -> Column:
+def _amount(value: str) -> Column:
     """Whole amount of a number or numeric text with thousands commas (half to even)."""
-    text = F.replace(_scalar(value), F.lit(","), F.lit(""))
+    text = F.replace(F.expr(_scalar(value)), F.lit(","), F.lit(""))
     return F.rint(F.trim(text).try_cast("double")).try_cast("bigint")
 
 
@@ -147,7 +150,7 @@ def open_postings(df: DataFrame, json_col: str = "posting") -> DataFrame:
     """Add the JobPosting fields as VARIANT columns prefixed ``p_``."""
     whole = F.try_parse_json(F.col(json_col))
     out = df.withColumn("p", whole)
-    return out.withColumns({f"p_{f}": _get(F.col("p"), f"$.{f}") for f in FIELDS}).drop("p")
+    return out.withColumns({f"p_{f}": F.expr(_sub("p", f"$.{f}")) for f in FIELDS}).drop("p")
 
 
 def _tidy_texts(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
@@ -161,36 +164,33 @@ def _tidy_texts(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
     return df.withColumns({name: tidy(F.col(name)) for name in raw})
 
 
-def _is_filled_object(value: Column) -> Column:
-    return F.coalesce(_is_object(value), F.lit(False)) & (F.to_json(value) != "{}")
-
-
 def _address_texts(df: DataFrame) -> DataFrame:
     """``places``: array of address structs, with text repaired for all places in one pass.
 
     The parts of every place are joined into one marked string, cleaned once per row, and
     split back, because Python steps cannot run inside array lambdas.
     """
-    df = df.withColumn("place_items", F.filter(_items(F.col("p_jobLocation")), _is_filled_object))
+    item = f"x{next(_names)}"
+    filled = f"{_is(item, 'OBJECT')} and to_json({item}) <> '{{}}'"
+    df = df.withColumn("place_items", F.expr(f"filter({_items('p_jobLocation')}, {item} -> {filled})"))
+    place = f"x{next(_names)}"
+    names = ("streetAddress", "addressLocality", "addressRegion", "addressCountry")
+
+    def joined(address: str) -> str:
+        parts = ", ".join(f"coalesce({_raw_text(_sub(address, '$.' + n))}, '')" for n in names)
+        return f"array_join(array({parts}), '{_MARK}')"
+
+    inner = _bind(_sub(place, "$.address"), lambda v: f"case when {_is(v, 'OBJECT')} then {v} else {place} end")
+    df = df.withColumn("place_parts", F.expr(f"transform(place_items, {place} -> {_bind(inner, joined)})"))
     places = F.col("place_items")
-
-    def parts(place: Column) -> Column:
-        names = ("streetAddress", "addressLocality", "addressRegion", "addressCountry")
-        return let(
-            let(_get(place, "$.address"), lambda inner: F.when(_is_object(inner), inner).otherwise(place)),
-            lambda address: F.array_join(
-                F.array(*[F.coalesce(raw_text(_get(address, f"$.{n}")), F.lit("")) for n in names]), _MARK
-            ),
-        )
-
-    df = df.withColumn("place_text", F.array_join(F.transform(places, parts), _MARK * 2))
+    df = df.withColumn("place_text", F.array_join("place_parts", _PLACE_MARK))
     df = df.withColumn("place_count", F.coalesce(F.size(places), F.lit(0)))
     df = df.withColumn("place_text", unescape_html("place_text"))
     df = df.withColumn("place_text", repair_mojibake("place_text"))
     df = df.withColumn("place_text", nfkc("place_text"))
     df = df.withColumn("place_folded", fold_accents("place_text"))
     both = F.arrays_zip(
-        F.split("place_text", _MARK * 2).alias("t"), F.split("place_folded", _MARK * 2).alias("f")
+        F.split("place_text", _PLACE_MARK).alias("t"), F.split("place_folded", _PLACE_MARK).alias("f")
     )
 
     def parted(pair: Column) -> Column:
@@ -230,41 +230,36 @@ def normalize_postings(
 ) -> DataFrame:
     """``df`` plus the observation columns of every posting in ``json_col``."""
     df = open_postings(df, json_col)
-    salary = F.col("p_baseSalary")
-    pay_value = _get(salary, "$.value")
-    pay_object = _is_object(pay_value)
-    education = _first_education(F.col("p_educationRequirements"))
+    salary, pay_value = "p_baseSalary", _sub("p_baseSalary", "$.value")
     df = _tidy_texts(
         df,
         {
-            "t_title": raw_text(F.col("p_title")),
-            "t_name": raw_text(F.col("p_name")),
-            "t_org": raw_text(F.col("p_hiringOrganization")),
-            "t_employment": raw_text(F.col("p_employmentType")),
-            "t_posted": raw_text(F.col("p_datePosted")),
-            "t_through": raw_text(F.col("p_validThrough")),
-            "t_remote": raw_text(F.col("p_jobLocationType")),
-            "t_currency": raw_text(_get(salary, "$.currency")),
-            "t_unit": F.when(pay_object, raw_text(_get(pay_value, "$.unitText"))),
-            "t_unit2": raw_text(_get(salary, "$.unitText")),
-            "t_education": education,
+            "t_title": raw_text("p_title"),
+            "t_name": raw_text("p_name"),
+            "t_org": raw_text("p_hiringOrganization"),
+            "t_employment": raw_text("p_employmentType"),
+            "t_posted": raw_text("p_datePosted"),
+            "t_through": raw_text("p_validThrough"),
+            "t_remote": raw_text("p_jobLocationType"),
+            "t_currency": raw_text(_sub(salary, "$.currency")),
+            "t_unit": F.expr(f"case when {_is(pay_value, 'OBJECT')} then {_raw_text(_sub(pay_value, '$.unitText'))} end"),
+            "t_unit2": raw_text(_sub(salary, "$.unitText")),
+            "t_education": _first_education("p_educationRequirements"),
         },
     )
-    df = df.withColumn("t_identifier", clean_text(identifier_text(F.col("p_identifier"))))
+    df = df.withColumn("t_identifier", clean_text(identifier_text("p_identifier")))
     # A string is taken as written; other shapes go through the text coercion.
-    df = df.withColumn("t_description", raw_text(F.col("p_description")))
+    df = df.withColumn("t_description", raw_text("p_description"))
     df = df.withColumn("t_description", description_text("t_description"))
     df = _address_texts(df)
     return _rules(df, page_url, domain, captured_at, position)
 
 
-def _first_education(raw: Column) -> Column:
+def _first_education(value: str) -> Column:
     """Credential text of the first requirement that has one."""
-
-    def one(v: Column) -> Column:
-        return F.when(_is_object(v), raw_text(_get(v, "$.credentialCategory"))).otherwise(raw_text(v))
-
-    return F.get(F.filter(F.transform(_items(raw), one), lambda t: F.trim(t) != ""), 0)
+    v, t = f"x{next(_names)}", f"x{next(_names)}"
+    one = f"case when {_is(v, 'OBJECT')} then {_raw_text(_sub(v, '$.credentialCategory'))} else {_raw_text(v)} end"
+    return F.expr(f"get(filter(transform({_items(value)}, {v} -> {one}), {t} -> trim({t}) <> ''), 0)")
 
 
 def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position: str) -> DataFrame:
@@ -347,7 +342,7 @@ def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position
             "employment_type_raw": c("t_employment"),
             "employment_type": employment_code("t_employment"),
             "work_arrangement": F.when(F.upper("t_remote") == "TELECOMMUTE", "REMOTE").otherwise("UNKNOWN"),
-            "experience_min_years": _years(c("p_experienceRequirements")),
+            "experience_min_years": _years("p_experienceRequirements"),
             "education_level": F.coalesce(
                 lookup(CREDENTIALS, F.lower("t_education")), education_level("t_education", cleaned=True)
             ),
@@ -373,7 +368,7 @@ def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position
     )
     df = df.withColumn("is_valid", F.size("invalid_reasons") == 0)
     helpers = [n for n in df.columns if n.startswith(("t_", "p_"))] + [
-        "employer", "places", "place_items", "place_text", "place_folded", "place_count", "countries", "pay",
+        "employer", "places", "place_items", "place_parts", "place_text", "place_folded", "place_count", "countries", "pay",
         "posted", "through", "captured_date", "street",
     ]
     df = df.drop(*helpers, *( ["page_url"] if page_url != "page_url" else []))
@@ -382,25 +377,15 @@ def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position
 
 def _structured_pay() -> Column:
     """Pay struct of ``baseSalary``: scalar or object value, unit text, currency spellings."""
-    salary = F.col("p_baseSalary")
-    value = _get(salary, "$.value")
+    value = _sub("p_baseSalary", "$.value")
+    is_object = F.expr(_is("p_baseSalary", "OBJECT"))
 
-    def bounds(v: Column) -> Column:
-        nested = F.struct(
-            _not_void(_get(v, "$.minValue")).alias("low"), _not_void(_get(v, "$.maxValue")).alias("high"),
-            _get(v, "$.value").alias("exact"),
-        )
-        both = F.struct(v.alias("low"), v.alias("high"), v.alias("exact"))
-        return F.when(_is_object(v), nested).otherwise(both)
-
-    def amounts(b: Column) -> Column:
-        neither = b["low"].isNull() & b["high"].isNull()
-        return F.struct(
-            _amount(F.when(neither, b["exact"]).otherwise(b["low"])).alias("low"),
-            _amount(F.when(neither, b["exact"]).otherwise(b["high"])).alias("high"),
-        )
+    def bound(name: str) -> Column:
+        stated = f"coalesce({_filled(_sub(value, '$.minValue'))}, {_filled(_sub(value, '$.maxValue'))}) is not null"
+        nested = f"case when {stated} then {_filled(_sub(value, '$.' + name))} else {_sub(value, '$.value')} end"
+        return F.when(is_object, _amount(f"case when {_is(value, 'OBJECT')} then {nested} else {value} end"))
 
-    found = F.when(_is_object(salary), let(let(value, bounds), amounts))
+    found = F.struct(bound("minValue").alias("low"), bound("maxValue").alias("high"))
     unit = F.upper(F.coalesce("t_unit", "t_unit2"))
     code = F.upper("t_currency")
     given = F.struct(
@@ -413,6 +398,6 @@ def _structured_pay() -> Column:
     )
 
 
-def _years(raw: Column) -> Column:
-    months = _scalar(_get(raw, "$.monthsOfExperience")).try_cast("double")
+def _years(raw: str) -> Column:
+    months = F.expr(_scalar(_sub(raw, "$.monthsOfExperience"))).try_cast("double")
     return F.floor(months / 12).cast("int")

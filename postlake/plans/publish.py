@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions.jobs import normalize_source_jobs
 from postlake.operators.merge import merge_records, retire, snapshot_gate
+from postlake.session import cut_lineage
 
 JOB_VALUES = (
     "title", "role_family", "company_name", "location_text", "city", "province", "location_confidence",
@@ -38,6 +39,7 @@ def import_source(
     rows = normalize_source_jobs(source_rows, currency, period)
     last = F.coalesce("last_observed_at", observed)
     rows = rows.withColumns({"last_seen_at": last, "first_seen_at": F.coalesce("first_observed_at", last)})
+    rows = cut_lineage(rows)  # normalized once, read by the gate, the rejects and both merges
     rejects = rows.filter(F.col("reject_reason").isNotNull()).select("source_key", "reject_reason")
     good = rows.filter(F.col("reject_reason").isNull())
     if replaces_snapshot and not snapshot_gate(rows).first()["publishable"]:
