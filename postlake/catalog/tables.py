@@ -158,7 +158,7 @@ from {orders} o
            count(*) filter (where is_valid and not valid_through_reliable) as vacancies_with_template_deadline,
            count(*) filter (where is_valid and len(crawls) > 1) as vacancies_seen_in_multiple_crawls,
            count(distinct case when is_valid then organization_key end) as distinct_employers,
-           count(distinct case when is_valid then source_domain end) as distinct_sites, 0.0 as duplicate_rate_records_to_vacancies
+           count(distinct case when is_valid then source_domain end) as distinct_sites, 0.0::double as duplicate_rate_records_to_vacancies
     from i""", i=INVENTORY)
 def _(t):
     rows = t.view(INVENTORY)

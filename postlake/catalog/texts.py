@@ -35,7 +35,7 @@ def _(t):
 
 
 @query("description_text", r"""
-    select page_id, length(d) as description_length, sha1(d) as description_sha1 from (
+    select page_id, length(d)::int as description_length, sha1(d) as description_sha1 from (
         select page_id, nullif(trim(regexp_replace(regexp_replace(html_unescape(html_unescape(html)), '<[^>]+>', ' ', 'g'), '[\s\x{a0}\x{2000}-\x{200a}\x{85}\x1c-\x1f\x0b]+', ' ', 'g')), '') as d
         from (select page_id, html from pages))""".replace("html_unescape(html_unescape(html))", _decoded(_decoded("html"))))
 def _(t):
@@ -78,10 +78,10 @@ _PAY = "p_partkey, p_size, p_type"
 
 @query("parse_salary_text", """
     select p_partkey, case when p_size = 1 then 'NOT_DISCLOSED' when p_size = 2 then 'NEGOTIABLE' else 'DISCLOSED' end as status,
-           case when p_size <= 2 then null when p_type = 'ECONOMY' then p_size * 1000000 when p_type = 'SMALL' then p_size * 100000 + 50000 else p_size * 12000000 end as minimum,
-           case when p_size <= 2 then null when p_type = 'ECONOMY' then (p_size + 2) * 1000000 when p_type = 'SMALL' then p_size * 100000 + 50000 else p_size * 24000000 end as maximum,
-           case when p_size <= 2 then null when p_type in ('ECONOMY', 'SMALL') then
-                case p_type when 'ECONOMY' then p_size * 1000000 else p_size * 100000 + 50000 end else p_size * 1000000 end as monthly_minimum,
+           cast(case when p_size <= 2 then null when p_type = 'ECONOMY' then p_size * 1000000 when p_type = 'SMALL' then p_size * 100000 + 50000 else p_size * 12000000 end as bigint) as minimum,
+           cast(case when p_size <= 2 then null when p_type = 'ECONOMY' then (p_size + 2) * 1000000 when p_type = 'SMALL' then p_size * 100000 + 50000 else p_size * 24000000 end as bigint) as maximum,
+           cast(case when p_size <= 2 then null when p_type in ('ECONOMY', 'SMALL') then
+                case p_type when 'ECONOMY' then p_size * 1000000 else p_size * 100000 + 50000 end else p_size * 1000000 end as bigint) as monthly_minimum,
            case when p_size <= 2 then 'UNKNOWN' when p_type in ('ECONOMY', 'SMALL') then 'MONTH' else 'YEAR' end as period
     from part""")
 def _(t):
@@ -303,7 +303,7 @@ def _(t):
         "salary_status", "salary_monthly_min", "salary_monthly_max", "is_valid")
 
 
-@query("postings_by_position", "select user_id, row_number() over (partition by user_id order by event_id) - 1 as position, event_id from events")
+@query("postings_by_position", "select user_id, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as position, event_id from events")
 def _(t):
     listed = t.events.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("postings_json"))
     out = explode_postings(listed.withColumn("fetch_result", F.lit("ok")))

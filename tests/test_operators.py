@@ -54,12 +54,10 @@ def test_salary_statistics_use_comparable_pay_only(jobs):
 
 @pytest.mark.parametrize("bounds, titles", [
     ({"salary_max": 600_000}, {"Edge"}), ({"salary_min": 100 * M}, {"High"}),
-    ({"salary_min": 7 * M, "salary_max": 9 * M}, {"Analis C", "Analis D", "Analis E"}), ({"q": " ANALIS a "}, {"Analis A"}),
+    ({"salary_min": 7 * M, "salary_max": 9 * M}, {"Analis C", "Analis D", "Analis E"}), ({"q": " ANALIS b "}, {"Analis B"}),
 ])
 def test_filters(jobs, bounds, titles):
-    assert {r.title for r in apply_filters(jobs, JobFilters(**bounds)).collect()} == titles | (
-        {t for t in ()} if "q" not in bounds else {r[1] for r in pay_rows() if "analis" in r[1].lower()} & titles
-    ) or "q" in bounds
+    assert {r.title for r in apply_filters(jobs, JobFilters(**bounds)).collect()} == titles
 
 
 def test_filters_are_validated():
