@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import licenses, sentencepieces, url_filters
-from postlake.llm.stage import table
+from postlake.llm import licenses, quality_rules, sentencepieces, url_filters, warc
+from postlake.llm.stage import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,28 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    return warc.resolve_revisits(warc.read_warc(spark, path))
+
+
+SQL["op1_warc"] = """
+with payloads as (
+    select page_id, coalesce(html, '') as html from pages
+), digests as (
+    select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest from payloads
+), kept as (
+    select *, max(page_id) over (partition by payload_digest, payload_bytes) as keeper from digests
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id < keeper then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id < keeper then keeper end as refers_to
+from kept
+"""
+
+
 @query
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
@@ -75,3 +97,9 @@ select page_id, host, path, rule,
        method_globs
 from ruled
 """
+
+
+@query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    return quality_rules.quality_rules(table(spark, folder, "documents"), trusted)
