@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import licenses, quality_rules, sentencepieces, url_filters, warc
+from postlake.llm import licenses, quality_classifier, quality_rules, sentencepieces, toxicity, url_filters, warc
 from postlake.llm.stage import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ from kept
 """
 
 
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 @query
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
@@ -57,6 +63,12 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepieces.encode_documents(table(spark, folder, "documents"), piece_model())
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, folder, "labels"), "quality"))
+
+
 @query
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.url_filter(table(spark, folder, "pages"))
