@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import licenses, quality_classifier, quality_rules, sentencepieces, toxicity, url_filters, warc
+from postlake.llm import (
+    decontamination, licenses, ngram_jaccard, quality_classifier, quality_rules, sentencepieces, toxicity, url_filters, warc,
+)
 from postlake.llm.stage import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +55,11 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
@@ -111,6 +118,42 @@ from ruled
 """
 
 
+@query
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
+SQL["op9_ngram_jaccard"] = r"""
+with recursive words as (
+    select doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x20\x09-\x0D]+') as w
+    from documents
+), shingles as (
+    select doc_id,
+           case when len(w) = 0 then cast([] as varchar[]) when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+    from words
+), sized as (
+    select doc_id, len(s) as n, s from shingles
+), postings as (
+    select doc_id, n, unnest(s) as shingle from sized
+), pairs as (
+    select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as common
+    from postings a join postings b on a.shingle = b.shingle and a.doc_id <> b.doc_id and 100 * a.n >= 75 * b.n and 100 * b.n >= 75 * a.n
+    group by all
+), links as (
+    select a, b from pairs where 100 * common >= 75 * (na + nb - common)
+), reach(doc_id, other) as (
+    select doc_id, doc_id from sized
+    union
+    select reach.doc_id, links.b from reach join links on reach.other = links.a
+)
+select sized.doc_id, cast(n as bigint) as n_shingles, component_id
+from sized join (select doc_id, min(other) as component_id from reach group by doc_id) using (doc_id)
+"""
+
+
 @query
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
