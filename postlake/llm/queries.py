@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.llm import (
-    decontamination, licenses, ngram_jaccard, quality_classifier, quality_rules, sentencepieces, toxicity, url_filters, warc,
+    decontamination, licenses, lm_scoring, ngram_jaccard, quality_classifier, quality_rules, sentencepieces, toxicity, url_filters, warc,
 )
 from postlake.llm.stage import shared_path, table
 
@@ -118,6 +118,46 @@ from ruled
 """
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(table(spark, folder, "documents"))
+
+
+SQL["op8_lm_scoring"] = r"""
+with words as (
+    select row_number() over () as row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x20\x09-\x0D]+') as w
+    from documents
+), placed as (
+    select row_id, unnest(w) as c, generate_subscripts(w, 1) as i from words
+), runs as (
+    select row_id, i, c, lag(c, 1) over (partition by row_id order by i) as b, lag(c, 2) over (partition by row_id order by i) as a from placed
+), one as (
+    select c, count(*) as n from runs group by c
+), two as (
+    select b, c, count(*) as n from runs where b is not null group by b, c
+), three as (
+    select a, b, c, count(*) as n from runs where a is not null group by a, b, c
+), scored as (
+    select runs.row_id,
+           case when three.n >= 2 then ln(three.n / context.n)
+                when two.n >= 2 then ln(two.n / before.n) + (least(i, 3) - 2) * ln(0.4)
+                else ln(one.n / (select count(*) from runs)) + (least(i, 3) - 1) * ln(0.4) end as s
+    from runs join one on runs.c = one.c
+    left join one before on runs.b = before.c
+    left join two on runs.b = two.b and runs.c = two.c
+    left join two context on runs.a = context.b and runs.b = context.c
+    left join three on runs.a = three.a and runs.b = three.b and runs.c = three.c
+), sums as (
+    select row_id, sum(s) as s from scored group by row_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, round(coalesce(s, 0), 6) as log_score,
+       round(case when len(w) > 0 then s / len(w) else 0 end, 6) as mean_log_score
+from words left join sums using (row_id)
+"""
+
+
 @query
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(table(spark, folder, "documents"))
