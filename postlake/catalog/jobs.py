@@ -131,13 +131,17 @@ def _(t):
            count(distinct {HOST}) as publisher_sites,
            coalesce(max(last_seen_at) < timestamp '{AS_OF}' - interval '30' day, true) as is_historical,
            (select count(*) from sources where id in (select primary_source_id from jobs)) as sources,
-           (select string_agg(coverage_note, ';' order by coverage_note) from sources) as coverage_notes
+           (select count(coverage_note) from sources where id in (select primary_source_id from jobs)) as coverage_notes
     from jobs""", jobs=JOBS, sources=SOURCES)
 def _(t):
     out = market.dataset_scope(t.view(JOBS), t.view(SOURCES), None, AS_OF)
     days = {c: F.to_date(c) for c in ("observed_from", "observed_to", "published_from", "published_to")}
-    return out.withColumns(days | {"sources": F.size("sources").cast("bigint"),
-                                   "coverage_notes": F.array_join("coverage_notes", ";")})
+    return out.withColumns(days)
+
+
+@query("scope_sources", "select id, name, coverage_note from sources where id in (select primary_source_id from jobs)", jobs=JOBS, sources=SOURCES)
+def _(t):
+    return market.scope_sources(t.view(JOBS), t.view(SOURCES), None, AS_OF)
 
 
 @query("source_coverage", """

@@ -61,7 +61,7 @@ from {lineitem}
 AGAIN = """
 select l_linestatus as crawl, cast(l_orderkey as @string) as url, cast(l_partkey as @string) as content_digest,
        timestamp '2005-01-01 00:00:00' as index_fetch_time
-from {lineitem} where l_quantity > 25
+from {lineitem}
 """
 
 
@@ -181,17 +181,19 @@ def _(t):
     return out.withColumn("score", F.round("score", 6))
 
 
-_LEAD = "trim(regexp_replace(strip_accents(lower(left(text, 60))), '[^0-9a-z+#]+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(strip_accents(lower(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^0-9a-z+#]+', ' ', 'g'))"
 
 
-@query("similar_document_leads", f"""
-    with leads as (select distinct lang, {_LEAD} as lead from documents)
-    select a.lang, a.lead as "left", b.lead as "right", round(jaro_winkler_similarity(a.lead, b.lead), 6) as score
-    from leads a join leads b on a.lang = b.lang and a.lead < b.lead
-    where jaro_winkler_similarity(a.lead, b.lead) >= 0.93""")
+@query("similar_page_titles", f"""
+    with titles as (select distinct regexp_extract(html, 'lang="([a-z]+)"', 1) as lang, {_TITLE} as title from pages)
+    select a.lang, a.title as "left", b.title as "right", round(jaro_winkler_similarity(a.title, b.title), 6) as score
+    from titles a join titles b on a.lang = b.lang and a.title < b.title
+    where jaro_winkler_similarity(a.title, b.title) >= 0.93""")
 def _(t):
-    leads = t.documents.repartition(8).select("lang", normalize_for_matching(F.left("text", F.lit(60))).alias("lead"))
-    out = fuzzy.similar_pairs(leads, ["lang"], "lead")
+    titles = t.pages.select(
+        F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"),
+        normalize_for_matching(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    out = fuzzy.similar_pairs(titles, ["lang"], "title")
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -199,20 +201,19 @@ def _(t):
     select p_partkey, round(jaro_winkler_similarity(p_name, p_type), 6) as name_type,
            round(jaro_winkler_similarity(lower(p_brand), 'brand#21'), 6) as brand from part""")
 def _(t):
-    p = t.part.repartition(8)
+    p = t.part
     return p.select("p_partkey", F.round(jaro_winkler("p_name", "p_type"), 6).alias("name_type"),
                     F.round(jaro_winkler(F.lower("p_brand"), F.lit("brand#21")), 6).alias("brand"))
 
 
 @query("connected_components", """
     with recursive e as (
-        select l_orderkey as a, -1 - l_partkey as b from lineitem where l_linenumber = 1 and l_quantity > 45),
+        select c_custkey as a, -1 - c_nationkey as b from customer),
       links as (select a, b from e union select b, a from e),
       reach as (select a as node, a as r from links union select links.b, reach.r from reach join links on reach.node = links.a)
     select node, min(r) as component from reach group by 1""")
 def _(t):
-    e = t.lineitem.filter("l_linenumber = 1 and l_quantity > 45").select(
-        F.col("l_orderkey").alias("left"), (-1 - F.col("l_partkey")).alias("right"))
+    e = t.customer.select(F.col("c_custkey").alias("left"), (-1 - F.col("c_nationkey")).alias("right"))
     return components.connected_components(e)
 
 
@@ -251,7 +252,7 @@ _MEMBER_COLUMNS = ("title", "salary_min", "source_domain")
 
 
 def _parts(t):
-    return t.view(PARTS).withColumn("crawls", F.array(F.lit("c1"))).repartition(8)
+    return t.view(PARTS).withColumn("crawls", F.array(F.lit("c1")))
 
 
 @query("vacancy_members", f"""{_VACANCIES}
@@ -363,14 +364,23 @@ def _(t):
 
 
 @query("domain_governance", """
-    select status, cast(sum(n) as bigint) as observations, string_agg(domain, ',' order by domain) as domains from (
+    select status, domain, n as observations from (
+        select lower(source_domain) as domain, count(*) as n,
+               case lower(source_domain) when 'indeed.com' then 'excluded_portal' when 'groove.co.id' then 'prohibits'
+                    when 'lokerbogor.co.id' then 'no_statement' else 'unreviewed' end as status
+        from s where registry_source_id = 'commoncrawl-jobposting' group by 1)""", s=SITE_ROWS)
+def _(t):
+    return policy.domain_governance(t.view(SITE_ROWS), policy.review_table(t.spark))
+
+
+@query("governance_totals", """
+    select status, cast(sum(n) as bigint) as observations, count(*) as domains from (
         select lower(source_domain) as domain, count(*) as n,
                case lower(source_domain) when 'indeed.com' then 'excluded_portal' when 'groove.co.id' then 'prohibits'
                     when 'lokerbogor.co.id' then 'no_statement' else 'unreviewed' end as status
         from s where registry_source_id = 'commoncrawl-jobposting' group by 1) group by 1""", s=SITE_ROWS)
 def _(t):
-    out = policy.domain_governance(t.view(SITE_ROWS), policy.review_table(t.spark))
-    return out.withColumn("domains", F.nullif(F.array_join("domains", ","), F.lit("")))
+    return policy.governance_totals(policy.domain_governance(t.view(SITE_ROWS), policy.review_table(t.spark)))
 
 
 INDEX = """

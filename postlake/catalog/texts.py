@@ -8,9 +8,8 @@ from postlake.catalog.base import query
 from postlake.functions import attributes, classify, jobs, jsonld, places, salary, text, titles, urls
 from postlake.functions import snapshot as profile
 from postlake.plans.silver import explode_postings, parse_captures
-from postlake.sources import feeds, publish, synthetic
+from postlake.sources import feeds, publish
 
-PARALLEL = 8  # one small file is one task; CPU-heavy text jobs spread first
 
 
 def _decoded(value: str) -> str:
@@ -25,13 +24,13 @@ def _decoded(value: str) -> str:
     select doc_id, case when lower(c) in ('', '-', 'n/a', 'na', 'none', 'null', 'not specified') then null else c end as cleaned
     from (select doc_id, trim(regexp_replace(nfc_normalize(text), '[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x1c-\x1f\x0b]+', ' ', 'g')) as c from documents)""")
 def _(t):
-    return t.documents.repartition(PARALLEL).select("doc_id", text.clean_text("text").alias("cleaned"))
+    return t.documents.select("doc_id", text.clean_text("text").alias("cleaned"))
 
 
 @query("normalize_for_matching", """
     select conv_id, turn, trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^0-9a-z+#]+', ' ', 'g')) as folded from conversations""")
 def _(t):
-    return t.conversations.repartition(PARALLEL).select("conv_id", "turn", text.normalize_for_matching("text").alias("folded"))
+    return t.conversations.select("conv_id", "turn", text.normalize_for_matching("text").alias("folded"))
 
 
 @query("description_text", r"""
@@ -40,7 +39,7 @@ def _(t):
         from (select page_id, html from pages))""".replace("html_unescape(html_unescape(html))", _decoded(_decoded("html"))))
 def _(t):
     d = text.description_text("html")
-    return t.pages.repartition(PARALLEL).select("page_id", d.alias("d")).select(
+    return t.pages.select("page_id", d.alias("d")).select(
         "page_id", F.length("d").alias("description_length"), F.sha1("d").alias("description_sha1"))
 
 
@@ -130,7 +129,7 @@ def _(t):
         .when(q < 20, F.concat(F.lit("Kurang dari "), q.cast("string"), F.lit(" tahun")))
         .otherwise(F.concat(F.lit("Minimal "), q.cast("string"), F.lit(" years")))
     )
-    out = t.lineitem.repartition(PARALLEL).select("l_orderkey", "l_linenumber", attributes.parse_experience(said).alias("e"))
+    out = t.lineitem.select("l_orderkey", "l_linenumber", attributes.parse_experience(said).alias("e"))
     return out.select("l_orderkey", "l_linenumber", "e.*")
 
 
@@ -141,7 +140,7 @@ def _(t):
     unit = F.when(F.col("l_returnflag") == "A", "hari").when(F.col("l_returnflag") == "R", "minggu").otherwise("bulan")
     said = F.concat(F.when(F.col("l_linestatus") == "O", "Urgent").otherwise(""), F.col("l_quantity").cast("int").cast("string"),
                     F.lit(" "), unit, F.lit(" yang lalu"))
-    return t.lineitem.repartition(PARALLEL).select("l_orderkey", "l_linenumber", attributes.parse_posting_age(said).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
+    return t.lineitem.select("l_orderkey", "l_linenumber", attributes.parse_posting_age(said).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
 
 
 @query("employment_and_education", """
@@ -162,7 +161,7 @@ def _(t):
 def _(t):
     tags = F.array(F.when(F.col("o_orderstatus") == "F", " SQL "), F.col("o_orderpriority"), F.when(F.col("o_totalprice") > 200000, "+3"),
                    F.when(F.col("o_totalprice") > 300000, "Remote/Dari rumah"), F.lit("Perusahaan Premium"), F.col("o_orderpriority"))
-    return t.orders.repartition(PARALLEL).select("o_orderkey", attributes.split_card_tags(tags).alias("c")).select(
+    return t.orders.select("o_orderkey", attributes.split_card_tags(tags).alias("c")).select(
         "o_orderkey", F.array_join("c.skills", ",").alias("skills"), F.col("c.hidden_count").alias("hidden_count"),
         F.col("c.work_arrangement").alias("work_arrangement"))
 
@@ -219,7 +218,7 @@ WORDS = (("the", "the", "the"), ("on", "on(?!e)", "on"), ("les", "les|la", "les;
     for n, p, _ in WORDS) + ") as words from documents")
 def _(t):
     ascii_edges = F.regexp_replace(F.lower("text"), "[\\x{80}-\\x{10ffff}]", "x")
-    return t.documents.repartition(PARALLEL).select(
+    return t.documents.select(
         "doc_id", F.array_join(classify.extract_skills(ascii_edges, WORDS, ()), ",").alias("words"))
 
 
@@ -227,7 +226,7 @@ def _(t):
 def _(t):
     added = F.when(F.col("n_chars") > 300, ". Menguasai Java, C++ dan MS Excel; lulusan S1 Akuntansi. Bahasa Inggris aktif").otherwise(
         ". javascript developer, React Native, S1 bidang Komunikasi")
-    return t.documents.repartition(PARALLEL).select(
+    return t.documents.select(
         "doc_id", F.array_join(classify.extract_skills(F.concat("text", added)), ",").alias("skills"))
 
 
@@ -271,7 +270,7 @@ def _pages(t):
     rows = _posting_rows(t)
     block = F.concat(F.lit('<html><script type="application/ld+json">{"@graph":['), F.col("posting"),
                      F.lit(']}</script><script type="application/ld+json">{bad</script></html>'))
-    return rows.withColumn("html", block).repartition(PARALLEL)
+    return rows.withColumn("html", block)
 
 
 @query("jsonld_postings", """
@@ -293,7 +292,7 @@ def _(t):
     from (select *, {_CITY} as w from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)""")
 def _(t):
     empty = F.lit(None)
-    captures = _posting_rows(t).repartition(PARALLEL).select(
+    captures = _posting_rows(t).select(
         F.lit("c1").alias("crawl"), F.concat(F.lit("https://Site.id/"), F.col("o_orderkey"), F.lit("/#x")).alias("url"), F.lit("site.id").alias("domain"),
         F.col("o_orderdate").cast("timestamp").alias("captured_at"), F.lit("f").alias("bronze_file"), F.lit("feed").alias("registry_source_id"),
         empty.cast("string").alias("warc_filename"), empty.cast("bigint").alias("warc_record_offset"), F.lit("d").alias("content_digest"),
@@ -303,11 +302,13 @@ def _(t):
         "salary_status", "salary_monthly_min", "salary_monthly_max", "is_valid")
 
 
-@query("postings_by_position", "select user_id, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as position, event_id from events")
+@query("postings_by_position", """
+    select user_id, cast(ts as date) as day, cast(row_number() over (partition by user_id, cast(ts as date) order by event_id) - 1 as int) as position, event_id
+    from events""")
 def _(t):
-    listed = t.events.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("postings_json"))
+    listed = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("postings_json"))
     out = explode_postings(listed.withColumn("fetch_result", F.lit("ok")))
-    return out.select("user_id", "position", F.col("posting").cast("bigint").alias("event_id"))
+    return out.select("user_id", "day", "position", F.col("posting").cast("bigint").alias("event_id"))
 
 
 @query("feed_lines_validated", """
@@ -346,7 +347,7 @@ def _(t):
     from (select *, floor(o_totalprice / 10000) + 1 as p from orders join customer on o_custkey = c_custkey)""")
 def _(t):
     p = F.floor(F.col("o_totalprice") / 10000) + 1
-    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).repartition(PARALLEL).select(
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").cast("string").alias("source_key"), F.concat(F.lit(" Kasir  "), F.col("o_orderstatus")).alias("title"),
         F.col("c_mktsegment").alias("company_name"), F.lit("Bandung,Jawa Barat").alias("location_text"),
         F.concat(F.lit("Rp "), p.cast("string"), F.lit(" jt-"), (p + 2).cast("string"), F.lit(" jt")).alias("salary_text"),
@@ -374,10 +375,3 @@ def _(t):
     cards = rows.select("o_orderkey", F.lit("Kasir").alias("job_title"), F.concat("n_name", F.lit(", Banten")).alias("location"),
                         pay.alias("salary_range"), F.lit("Not Specified").alias("job_requirements"))
     return profile.snapshot_features(cards).select("o_orderkey", "city", "province", "salary_visible", "salary_min")
-
-
-@query("synthetic_records")
-def _(t):
-    """As many seeded synthetic records as there are orders; random data has no SQL twin."""
-    out = synthetic.source_records(t.spark, t.orders.count())
-    return out.groupBy("role_family").agg(F.count("*").alias("records"), F.count_if("salary_reliable").alias("reliable"))

@@ -27,8 +27,7 @@ def skill_pattern(name: str, pattern: str, majors=MAJOR_LIKE) -> str:
     """
     study = ""
     if name in majors:
-        words = "|".join(DEGREE_WORDS)
-        study = rf"(?<!\b(?:{words})\b[^.;]{{0,{DEGREE_REACH}}})"
+        study = rf"(?<!\b(?:{DEGREE_WORDS})\b[^.;]{{0,{DEGREE_REACH}}})"
     return rf"(?U)(?=(?:{pattern})(?![\w+#]))(?<![\w.+#]){study}"
 
 
@@ -43,7 +42,7 @@ def extract_skills(text: Column | str, skills=SKILLS, majors=MAJOR_LIKE) -> Colu
 def _mentioned(text: Column, skills, majors) -> Column:
     hits = [
         F.when(
-            any_phrase(text, literals.split(";")) & text.rlike(skill_pattern(name, pattern, majors)),
+            any_phrase(text, literals) & text.rlike(skill_pattern(name, pattern, majors)),
             name,
         )
         for name, pattern, literals in skills

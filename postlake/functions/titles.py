@@ -48,8 +48,7 @@ def _kept_words(v: Column) -> Column:
 
 def organization_key(organization: Column | str) -> Column:
     key = normalize_for_matching(organization)
-    words = "|".join(EMPLOYER_NOISE)
-    return F.trim(F.regexp_replace(F.regexp_replace(key, rf"\b({words})\b", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(key, EMPLOYER_NOISE, " "), " +", " "))
 
 
 def display_title(title: Column | str, organization: Column | str) -> Column:

@@ -59,11 +59,13 @@ def breakdown(
     return out.select("key", "label", "count", "share", "total", "distinct_values", "other_count")
 
 
-def filter_options(jobs: DataFrame, as_of, limit: int = 200, window_days: int = limits.LIFECYCLE_DAYS,
+def filter_options(jobs: DataFrame, as_of, limit: int | None = None, window_days: int = limits.LIFECYCLE_DAYS,
                    dimensions=("province", "city", "role_family", "employment_type", "work_arrangement",
                                "education", "experience", "source")) -> DataFrame:
-    """Long form (dimension, key, count): each dimension's most common values and the lifecycle
-    labels. One pass over the jobs: values are unpivoted before a single count."""
+    """Long form (dimension, key, count): all values of each dimension and the lifecycle labels.
+    One pass over the jobs: values are unpivoted before a single count. With a limit only the
+    most common values stay, and each row says how many values its dimension has
+    (distinct_values) and how many jobs the others hold (other_count)."""
     pairs = [(d, F.col(DIMENSIONS[d][0])) for d in dimensions]
     pairs.append(("freshness", lifecycle(as_of, window_days)))
     long = jobs.select(
@@ -71,9 +73,15 @@ def filter_options(jobs: DataFrame, as_of, limit: int = 200, window_days: int =
         .alias("o")
     ).select("o.*").filter(F.col("key").isNotNull())
     counts = long.groupBy("dimension", "key").agg(F.count("*").alias("count"))
+    if limit is None:
+        return counts
     # Top values per dimension without ranking a whole dimension in one task: prune per
     # hashed slice first, then rank the few survivors.
-    return top_per_group(counts, ["dimension"], [F.desc("count"), F.asc("key")], limit)
+    shown = top_per_group(counts, ["dimension"], [F.desc("count"), F.asc("key")], limit)
+    whole = counts.groupBy("dimension").agg(F.count("*").alias("distinct_values"), F.sum("count").alias("all"))
+    kept = shown.groupBy("dimension").agg(F.sum("count").alias("kept"))
+    rest = whole.join(kept, "dimension").select("dimension", "distinct_values", (F.col("all") - F.col("kept")).alias("other_count"))
+    return shown.join(rest, "dimension")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, slices: int = 64) -> DataFrame:

@@ -76,7 +76,7 @@ class JobFilters:
         return (self.q or "").strip() or None
 
     def terms(self) -> list[str]:
-        return self.query.casefold().split()[: limits.MAX_QUERY_TERMS] if self.query else []
+        return self.query.casefold().split() if self.query else []  # MAX_QUERY_LENGTH bounds them
 
     def without(self, name: str) -> JobFilters:
         return replace(self, **{name: ()})

@@ -45,15 +45,11 @@ def dataset_scope(
     jobs: DataFrame, sources: DataFrame, filters: JobFilters | None, as_of,
     window_days: int = limits.LIFECYCLE_DAYS,
 ) -> DataFrame:
-    """One row: observed and published ranges, contributing sources and their coverage notes."""
+    """One row: observed and published ranges, and how many sources contribute (see scope_sources for which)."""
     jobs = apply_filters(jobs, filters, as_of, window_days)
     cutoff = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(window_days))
     used = sources.join(jobs.select(F.col("primary_source_id").alias("id")), "id", "left_semi")
-    # The registry is a hand-kept list, one row per source.
-    listed = used.agg(
-        F.array_sort(F.collect_list(F.struct("name", "id"))).alias("sources"),
-        F.array_sort(F.collect_list("coverage_note")).alias("coverage_notes"),
-    )
+    listed = used.agg(F.count("*").alias("sources"), F.count("coverage_note").alias("coverage_notes"))
     out = jobs.agg(
         F.min("last_seen_at").alias("observed_from"), F.max("last_seen_at").alias("observed_to"),
         F.min("published_at").alias("published_from"), F.max("published_at").alias("published_to"),
@@ -68,6 +64,15 @@ def dataset_scope(
     )
 
 
+def scope_sources(
+    jobs: DataFrame, sources: DataFrame, filters: JobFilters | None, as_of, window_days: int = limits.LIFECYCLE_DAYS,
+) -> DataFrame:
+    """(id, name, coverage_note) of the sources that contribute to the filtered jobs."""
+    jobs = apply_filters(jobs, filters, as_of, window_days)
+    used = jobs.select(F.col("primary_source_id").alias("id"))
+    return sources.join(used, "id", "left_semi").select("id", "name", "coverage_note")
+
+
 def source_coverage(sources: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
     """Every registered source with its job count and last successful run."""
     counts = jobs.groupBy(F.col("primary_source_id").alias("id")).agg(F.count("*").alias("job_count"))

@@ -11,7 +11,7 @@ from postlake.rules import limits, sites, vocab
 
 def review_table(spark: SparkSession, rows=None) -> DataFrame:
     """(domain, status, aggregator) of reviewed sites: a fixed list of a few dozen rows."""
-    return spark.createDataFrame(rows or sites.review_rows(), "domain string, status string, aggregator boolean")
+    return spark.createDataFrame(rows or sites.REVIEWS, "domain string, status string, aggregator boolean")
 
 
 def excluded_table(spark: SparkSession, domains=sites.EXCLUDED_DOMAINS) -> DataFrame:
@@ -28,7 +28,7 @@ def usable_captures(
     domain is dropped.
     """
     if usable is None:
-        usable = [d for d, status, _ in sites.review_rows() if status in sites.USABLE_REVIEWS]
+        usable = [d for d, status, _ in sites.REVIEWS if status in sites.USABLE_REVIEWS]
     name = F.lower(domain)
     reviewed = name.isin(*usable) if usable else F.lit(False)
     return df.filter(~name.isin(*excluded)).filter((F.col(source) != archive) | reviewed)
@@ -124,13 +124,17 @@ def skipped_low_yield(pending: DataFrame, yields: DataFrame, trials: int = limit
 
 def domain_governance(observations: DataFrame, reviews: DataFrame, excluded=sites.EXCLUDED_DOMAINS,
                       archive: str = sites.ARCHIVE_SOURCE) -> DataFrame:
-    """Archive observations and domains per review status, excluded sites included."""
+    """(status, domain, observations) of the archive's sites, excluded ones included: one row per site."""
     per_domain = observations.filter(F.col("registry_source_id") == archive).groupBy(
         F.lower("source_domain").alias("domain")
     ).agg(F.count("*").alias("n"))
     status = F.when(F.col("domain").isin(*excluded), "excluded_portal").otherwise(
         F.coalesce("status", F.lit("unreviewed"))
     )
-    return per_domain.join(reviews.select("domain", "status"), "domain", "left").groupBy(
-        status.alias("status")
-    ).agg(F.sum("n").alias("observations"), F.array_sort(F.collect_set("domain")).alias("domains"))
+    return per_domain.join(reviews.select("domain", "status"), "domain", "left").select(
+        status.alias("status"), "domain", F.col("n").alias("observations"))
+
+
+def governance_totals(governed: DataFrame) -> DataFrame:
+    """Observations and number of sites per review status."""
+    return governed.groupBy("status").agg(F.sum("observations").alias("observations"), F.count("*").alias("domains"))

@@ -144,11 +144,17 @@ def ordered_levels(levels: DataFrame) -> DataFrame:
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: do two builds hold the same rows (count and order-free hash of all columns)?"""
+    """One row: do two builds hold the same rows, repeated ones as often?
+
+    Rows are compared by count and by the sum of two row hashes. Each column gives its hash and
+    whether it is NULL, so equal values in other columns and repeated rows don't cancel out."""
 
     def digest(df: DataFrame) -> DataFrame:
+        parts = [part for c in sorted(df.columns) for part in (F.col(c).isNull(), F.col(c))]
+        wide = [F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)") for seed in (1, 2)]
         return df.agg(
-            F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(df.columns))), F.lit(0)).alias("x")
+            F.count("*").alias("n"),
+            F.array(*[F.coalesce(F.sum(h), F.lit(0)).cast("string") for h in wide]).alias("x"),
         )
 
     a, b = digest(left), digest(right)

@@ -24,7 +24,6 @@ FUTURE_DAYS = 2
 LIFECYCLE_DAYS = 30
 REVIEW_VALID_DAYS = 365
 MAX_QUERY_LENGTH = 100
-MAX_QUERY_TERMS = 8
 MAX_FILTER_VALUES = 40
 MAX_VALUE_LENGTH = 200
 MAX_SALARY_BOUND = 10_000_000_000

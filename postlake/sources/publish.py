@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlake import schemas
 from postlake.functions.text import as_column, lookup
-from postlake.rules.sites import AGGREGATORS
+from postlake.rules.sites import REVIEWS
 from postlake.rules.words import (
     EDUCATION_TEXT, IMPLAUSIBLE_PAY_TEXT, REASON_BELOW_FLOOR, REASON_SITE_TEMPLATE, TEMPLATE_PAY_TEXT,
 )
@@ -38,7 +38,7 @@ def vacancy_source_jobs(vacancies: DataFrame, registry_source_id: str) -> DataFr
     raw = {
         "vacancy_id": c("vacancy_id"), "sites": F.to_json("sites"), "source_records": c("source_records"),
         "city_templated": c("city_templated"), "source_title": c("source_title"),
-        "aggregator_site": F.coalesce(F.lower("source_domain").isin(*AGGREGATORS), F.lit(False)),
+        "aggregator_site": F.coalesce(F.lower("source_domain").isin([d for d, _, aggregator in REVIEWS if aggregator]), F.lit(False)),
         "parser_version": c("parser_version"), "source_valid_through": c("valid_through"),
         "valid_through_unreliable": doubtful,
     }

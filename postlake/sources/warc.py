@@ -1,83 +1,171 @@
 """Stored web-archive files to typed capture rows.
 
-Files are read by Spark as binary rows. One file is one row, so keep archive files at the
-usual size of about a gigabyte or split them before; members are decompressed one at a time.
+Spark reads the files as binary rows. A file holds records one after another, plain or as gzip
+members (a member may hold several records). A record's block is as long as its ``Content-Length``
+says. Damage never ends the job: what can't be read becomes a row with a reason, and reading goes on
+at the next member.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
+from postlake.functions.urls import publisher_site
+
+GZIP_START = b"\x1f\x8b\x08"
 BATCH_ROWS = 256
 RECORD = (
-    "warc_filename string, warc_record_offset bigint, warc_record_length bigint, url string, "
-    "captured_at string, http_status int, body string, reject_reason string"
+    "warc_filename string, warc_record_offset bigint, warc_record_length bigint, url string, captured_at string, "
+    "http_status int, body string, content_digest string, reject_reason string"
 )
-
-
-def _members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, data) of each gzip member; an uncompressed file is one record."""
-    if content[:2] != b"\x1f\x8b":
-        yield 0, len(content), content
+_FIELDS = [field.split()[0] for field in RECORD.split(", ")]
+
+
+@dataclass
+class Capture:
+    """One archive record, or what is known of a damaged one."""
+
+    warc_record_offset: int
+    warc_record_length: int
+    url: str | None = None
+    captured_at: str | None = None
+    http_status: int | None = None
+    body: str | None = None
+    content_digest: str | None = None
+    reject_reason: str | None = None
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by lower-cased name; a line that starts with a blank goes on with the one before."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").splitlines():
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        elif ":" in line:
+            name = line[: line.index(":")].strip().lower()
+            found[name] = line[line.index(":") + 1 :].strip()
+    return found
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; ValueError if a chunk is cut off."""
+    body, at = bytearray(), 0
+    while True:
+        line_end = data.index(b"\r\n", at)
+        size = int(data[at:line_end].split(b";")[0], 16)
+        if not size:
+            return bytes(body)
+        at = line_end + 2
+        if at + size > len(data):
+            raise ValueError("cut chunk")
+        body += data[at : at + size]
+        at += size + 2
+
+
+def _http(block: bytes, capture: Capture) -> None:
+    """Fill status, body and digest from an HTTP message."""
+    end = block.find(b"\r\n\r\n")
+    head, body = (block[:end], block[end + 4 :]) if end >= 0 else (block, b"")
+    status_line, _, rest = head.partition(b"\r\n")
+    status = status_line.split(b" ")[1:2]
+    capture.http_status = int(status[0]) if status and status[0].isdigit() else None
+    fields = _fields(rest)
+    try:
+        if fields.get("transfer-encoding", "").lower() == "chunked":
+            body = _unchunked(body)
+        coding = fields.get("content-encoding", "").lower()
+        if coding in ("gzip", "x-gzip"):
+            body = gzip.decompress(body)
+        elif coding == "deflate":
+            body = zlib.decompress(body)
+    except (ValueError, EOFError, OSError, zlib.error):
+        capture.reject_reason = "damaged_body"
         return
-    view, start = memoryview(content), 0
+    capture.body = body.decode("utf-8", "replace")
+    capture.content_digest = capture.content_digest or base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+
+def _captures(data: bytes, place: tuple[int, int] | None) -> Iterator[Capture]:
+    """The records of plain bytes. place: offset and length of the member they came from, if any."""
+    at = 0
+    while at < len(data):
+        begin = data.find(b"WARC/", at)
+        if begin < 0:
+            break
+        head_end = data.find(b"\r\n\r\n", begin)
+        fields = _fields(data[begin:head_end]) if head_end >= 0 else {}
+        length = fields.get("content-length", "")
+        stop = head_end + 4 + int(length) if length.isdigit() else head_end + 4
+        found = Capture(*(place or (begin, min(stop, len(data)) - begin)))
+        found.url, found.captured_at = fields.get("warc-target-uri"), fields.get("warc-date")
+        digest = fields.get("warc-payload-digest", "")
+        found.content_digest = digest.rpartition(":")[2] or None
+        if head_end < 0 or not length.isdigit():
+            found.reject_reason = "damaged_record"
+            stop = len(data) if head_end < 0 else stop
+        elif stop > len(data):
+            found.reject_reason = "truncated_record"
+        elif fields.get("warc-type") != "response":
+            found.reject_reason = "not_a_response_record"
+        elif found.captured_at is None:
+            found.reject_reason = "missing_capture_time"
+        else:
+            _http(data[head_end + 4 : stop], found)
+        yield found
+        at = stop
+
+
+def _file(content: bytes) -> Iterator[Capture]:
+    """All records of a file, plain or gzipped."""
+    if not content.startswith(GZIP_START[:2]):
+        yield from _captures(content, None)
+        return
+    start = 0
     while start < len(content):
-        member, parts, position = zlib.decompressobj(31), [], start
-        while not member.eof and position < len(content):
-            chunk = view[position : position + CHUNK]
-            parts.append(member.decompress(chunk))
-            position += len(chunk)
-        end = position - len(member.unused_data)
-        yield start, end - start, b"".join(parts)
-        start = end
-
-
-def _record(data: bytes) -> dict:
-    head, _, payload = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    header = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-    row = {"url": header.get("warc-target-uri"), "captured_at": header.get("warc-date"),
-           "http_status": None, "body": None, "reject_reason": None}
-    if header.get("warc-type") != "response":
-        return row | {"reject_reason": "not_a_response_record"}
-    if row["captured_at"] is None:
-        return row | {"reject_reason": "missing_capture_time"}
-    http, _, body = payload.partition(b"\r\n\r\n")
-    words = http.split(b"\r\n", 1)[0].decode("latin-1").split(" ")
-    status = int(words[1]) if len(words) > 1 and words[1].isdigit() else None
-    return row | {"http_status": status, "body": body.decode("utf-8", "replace")}
+        member = zlib.decompressobj(31)
+        try:
+            data = member.decompress(memoryview(content)[start:])
+            reason = None if member.eof else "truncated_member"
+        except zlib.error:
+            reason = "damaged_member"
+        after = content.find(GZIP_START, start + 1)
+        if reason:
+            after = after if after >= 0 else len(content)
+            yield Capture(start, after - start, reject_reason=reason)
+        else:
+            after = len(content) - len(member.unused_data)
+            yield from _captures(data, (start, after - start))
+        start = after
 
 
 def split_records(files: DataFrame) -> DataFrame:
     """(path, content) rows to one row per archive record, rejects included with a reason."""
 
-    def split(batches):
-        rows = []
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                for offset, length, data in _members(content):
-                    place = {"warc_filename": name, "warc_record_offset": offset, "warc_record_length": length}
-                    rows.append(place | _record(data))
-                    if len(rows) == BATCH_ROWS:
-                        yield _frame(rows)
+            for path, content in zip(batch["path"], batch["content"]):
+                for found in _file(content):
+                    rows.append({"warc_filename": path} | asdict(found))
+                    if len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=_FIELDS).astype({"http_status": "Int32"})
                         rows = []
-        yield _frame(rows)
+        yield pd.DataFrame(rows, columns=_FIELDS).astype({"http_status": "Int32"})
 
     out = files.select("path", "content").mapInPandas(split, RECORD)
-    return out.withColumn("captured_at", F.try_to_timestamp("captured_at"))
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    names = [part.split()[0] for part in RECORD.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"http_status": "Int32"})
+    return out.withColumns({"captured_at": F.try_to_timestamp("captured_at"), "domain": publisher_site("url")})
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return split_records(files.select(F.split_part("path", F.lit("/"), F.lit(-1)).alias("path"), "content"))
+    """The records of all files below path; the whole path names the file."""
+    return split_records(spark.read.format("binaryFile").load(path).select("path", "content"))

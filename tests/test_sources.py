@@ -14,20 +14,62 @@ from postlake.streaming import jobs as stream
 AT = datetime(2026, 10, 1, tzinfo=timezone.utc)
 
 
-def test_warc_members(spark, tmp_path):
-    page = b'<script type="application/ld+json">{"@type":"JobPosting","title":"A"}</script>'
-    good = (b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Date: 2026-09-05T10:00:00Z\r\nWARC-Target-URI: https://a.id/1\r\n\r\n"
-            b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page)
-    bad = b"WARC/1.0\r\nWARC-Type: request\r\n\r\nGET / HTTP/1.1\r\n\r\n"
-    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(bad))
-    rows = warc.read_warc(spark, str(tmp_path)).orderBy("warc_record_offset").cache()
-    one, two = rows.collect()
-    assert (one.url, one.http_status, one.reject_reason, one.warc_filename) == ("https://a.id/1", 200, None, "x.warc.gz")
-    assert one.captured_at.replace(tzinfo=timezone.utc) == datetime(2026, 9, 5, 10, tzinfo=timezone.utc)
-    assert two.reject_reason == "not_a_response_record" and two.warc_record_offset == one.warc_record_length
-    pages = capture_pages(rows.withColumns({"domain": F.lit("a.id"), "content_digest": F.lit("d")}), "c1").orderBy("warc_record_offset").collect()
-    assert [(p.jobposting_count, p.fetch_result) for p in pages] == [(1, "ok"), (0, "not_a_response_record")]
-    assert json.loads(pages[0].postings_json)[0]["title"] == "A"
+def record(kind, block, *more):
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"Content-Length: %d" % len(block), *more]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def response(url, body, *fields):
+    http = b"\r\n".join([b"HTTP/1.1 200 OK", *fields]) + b"\r\n\r\n" + body
+    return record(b"response", http, b"WARC-Target-URI: " + url, b"WARC-Date: 2031-02-03T04:05:06Z")
+
+
+POSTING = b'<script type="application/ld+json">[{"@graph":[{"@type":["Thing","http://schema.org/JobPosting"],"title":"Welder"}]}]</script>'
+
+
+def archive(tmp_path, spark, **files):
+    for name, data in files.items():
+        path = tmp_path / name.replace("__", "/")
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(data)
+    options = {"recursiveFileLookup": "true"}
+    rows = warc.split_records(spark.read.options(**options).format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    return sorted(rows.collect(), key=lambda r: (r.warc_filename, r.warc_record_offset, r.url or ""))
+
+
+def test_plain_archives_hold_many_records(spark, tmp_path):
+    records = [response(b"https://www.one.test/a", POSTING), record(b"request", b"GET / HTTP/1.1\r\n\r\n"), response(b"https://two.test/WARC/", b"WARC/1.1 in a body")]
+    rows = archive(tmp_path, spark, plain=b"".join(records))
+    assert [(r.url, r.domain, r.reject_reason) for r in rows] == [
+        ("https://www.one.test/a", "one.test", None), (None, None, "not_a_response_record"), ("https://two.test/WARC/", "two.test", None)]
+    assert [r.warc_record_offset for r in rows] == [0, len(records[0]), len(records[0]) + len(records[1])]
+    assert rows[2].body == "WARC/1.1 in a body" and rows[0].http_status == 200
+
+
+def test_damage_becomes_a_reason(spark, tmp_path):
+    good, late = gzip.compress(response(b"https://a.test/", b"x")), gzip.compress(response(b"https://b.test/", b"y"))
+    broken = bytearray(late)
+    broken[14:30] = b"\xff" * 16
+    rows = archive(tmp_path, spark, cut=good + late[:-12], broken=bytes(broken) + good, short=response(b"https://c.test/", b"z")[:-9])
+    assert [(r.warc_filename.rpartition("/")[2], r.reject_reason) for r in rows] == [
+        ("broken", "damaged_member"), ("broken", None), ("cut", None), ("cut", "truncated_member"), ("short", "truncated_record")]
+
+
+def test_equal_file_names_and_coded_bodies(spark, tmp_path):
+    chunked = b"4\r\nwiki\r\n5;x=1\r\npedia\r\n0\r\n\r\n"
+    rows = archive(
+        tmp_path, spark, one__x=response(b"https://a.test/", chunked, b"Transfer-Encoding: chunked"),
+        two__x=response(b"https://a.test/", gzip.compress(b"wikipedia"), b"Content-Encoding: gzip") + response(b"https://a.test/", b"no gzip", b"Content-Encoding: gzip"))
+    assert len({r.warc_filename for r in rows}) == 2
+    assert [r.body for r in rows] == ["wikipedia", "wikipedia", None] and rows[2].reject_reason == "damaged_body"
+    assert rows[0].content_digest == rows[1].content_digest
+
+
+def test_archives_go_through_to_captures(spark, tmp_path):
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(response(b"https://a.test/1", POSTING)) + gzip.compress(record(b"metadata", b"")))
+    pages = capture_pages(warc.read_warc(spark, str(tmp_path)), "c1").orderBy("warc_record_offset").collect()
+    assert [(p.jobposting_count, p.fetch_result, p.domain) for p in pages] == [(1, "ok", "a.test"), (0, "not_a_response_record", None)]
+    assert json.loads(pages[0].postings_json)[0]["title"] == "Welder" and pages[0].content_digest
 
 
 def test_jsonl_import(spark, tmp_path):
