@@ -8,7 +8,7 @@ from postlake.catalog.base import query
 from postlake.functions import attributes, classify, jobs, jsonld, places, salary, text, titles, urls
 from postlake.functions import snapshot as profile
 from postlake.plans.silver import explode_postings, parse_captures
-from postlake.sources import feeds, publish
+from postlake.sources import feeds, publish, warc
 
 
 
@@ -375,3 +375,17 @@ def _(t):
     cards = rows.select("o_orderkey", F.lit("Kasir").alias("job_title"), F.concat("n_name", F.lit(", Banten")).alias("location"),
                         pay.alias("salary_range"), F.lit("Not Specified").alias("job_requirements"))
     return profile.snapshot_features(cards).select("o_orderkey", "city", "province", "salary_visible", "salary_min")
+
+
+@query("archived_pages", """
+    select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[.]', '') as domain,
+           sha1(html) as body_sha1 from pages""")
+def _(t):
+    """Each page as an archive of one response record, read back."""
+    message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.col("html"))
+    record = F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: 2031-02-03T04:05:06Z\r\nWARC-Target-URI: "), F.col("url"),
+        F.lit("\r\nContent-Length: "), F.octet_length(message).cast("string"), F.lit("\r\n\r\n"), message, F.lit("\r\n\r\n"))
+    files = t.pages.select(F.col("page_id").cast("string").alias("path"), record.cast("binary").alias("content"))
+    return warc.split_records(files).select(
+        F.col("warc_filename").cast("bigint").alias("page_id"), "url", "domain", F.sha1(F.col("body").cast("binary")).alias("body_sha1"))

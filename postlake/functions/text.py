@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import lru_cache
+from html import entities
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,12 +156,30 @@ def nfkc(text: Column | str) -> Column:
     return let(as_column(text), lambda t: F.when(_holds(t, _needs_nfkc()), _icu("compose", t)).otherwise(t))
 
 
+# Named entities that HTML 5 added to those of HTML 4 or changed, from Python's table; "AMP" waits for the last step.
+_HTML5 = {
+    name.removesuffix(";"): value for name, value in entities.html5.items()
+    if name.endswith(";") and chr(entities.name2codepoint.get(name.removesuffix(";"), 0)) != value
+} | {"AMP": "&amp;"}
+_HTML5_TABLE = "\x1e".join(f"{name}\x1d{value}" for name, value in _HTML5.items())
+
+
+def _newer_entities(text: Column) -> Column:
+    """Replace the names that only HTML 5 knows; one look-up for each name that stands in the text."""
+    table = F.str_to_map(F.lit(_HTML5_TABLE), F.lit("\x1e"), F.lit("\x1d"))
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    return F.aggregate(
+        names, text,
+        lambda t, n: F.coalesce(F.replace(t, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(table, n)), t))
+
+
 def unescape_html(text: Column | str) -> Column:
     """HTML entities to characters: numeric ones (with the Windows-1252 reading of 128-159)
-    and the named ones of HTML 4; a missing semicolon is tolerated on the common names."""
+    and all named ones; a missing semicolon is tolerated on the common names."""
 
     def decode(t: Column) -> Column:
-        closed = F.regexp_replace(t, "&(amp|lt|gt|quot|nbsp)(?![A-Za-z0-9;])", "&$1;")
+        newer = F.when(t.rlike("&[A-Za-z][A-Za-z0-9]*;"), _newer_entities(t)).otherwise(t)
+        closed = F.regexp_replace(newer, "&(amp|lt|gt|quot|nbsp)(?![A-Za-z0-9;])", "&$1;")
         closed = F.replace(closed, F.lit("&apos;"), F.lit("&#39;"))
         plain = F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), closed)
         remapped = F.when(

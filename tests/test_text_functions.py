@@ -1,5 +1,7 @@
+import html
 import random
 import unicodedata
+from html import entities
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +219,9 @@ def test_jsonld(evaluate):
     found, empty = evaluate(jsonld.extract_job_postings("v"), [page, "<p>none</p>"])
     assert [p.count('"title"') for p in found.postings] == [1, 1] and found.malformed == 1
     assert '"B\\twith tab"' in found.postings[1] and empty.postings == []
+
+
+def test_every_named_entity_is_decoded(evaluate):
+    texts = [f"a&{name}b" for name in entities.html5 if name.endswith(";")]
+    texts += ["&check; &plus; &num; &lpar;x&rpar;", "&amp;check; &check;", "&AMP;lt; &amp;AMP;", "&nope; &amp", "x & y"]
+    assert evaluate(text.unescape_html("v"), texts) == [html.unescape(t) for t in texts]
