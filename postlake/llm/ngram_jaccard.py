@@ -17,8 +17,8 @@ reach the similarity t only if they differ in at most (1 - t) / (1 + t) * (a + b
    are handled in step 5.
 4. Verification: pairs must pass a finer sketch (one bit per shingle, its Hamming distance again at
    most the symmetric difference); then the sets themselves are compared.
-5. Groups: each hot word value draws one of its classes as pivot, another one for each value, and
-   pairs all its classes with it: as many pairs as entries, however large the group. After that,
+5. Groups: of the hot word values, every fourth draws one of its classes as pivot, another one for
+   each value, and pairs all its classes with it: fewer pairs than entries, however large the group. After that,
    classes of one hot value that still lie in different components are compared in cells of bounded
    size by their fine sketches, and what passes is verified. So no link between components is lost
    and none inside a component needs to be found twice.
@@ -47,7 +47,9 @@ SHINGLE = 5
 #: Similarity as a percentage: linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A word value of more classes is hot.
-HOT = 24
+HOT = 16
+#: One hot value in so many draws a pivot.
+DRAWN = 4
 #: Sketch words that one task of the join gets, about.
 TASK_WORDS = 1_000_000
 #: Classes on a side of a cell when hot values are compared.
@@ -110,7 +112,12 @@ class Band:
 
     @property
     def words(self) -> int:
-        return -(-self.differences * 11 // 10) + 3
+        return -(-self.differences * 6 // 5) + 3
+
+    def differences_from(self, n: int) -> int:
+        """The largest difference of a set of n shingles from a linked one in this band."""
+        largest = min(100 * n // self.percent, (2 << self.level) - 1)
+        return (n + largest) * (100 - self.percent) // (100 + self.percent)
 
 
 def bands_of(n: int, percent: int = PERCENT) -> list[Band]:
@@ -129,7 +136,7 @@ def sketch_words(ids: np.ndarray, band: Band) -> tuple[np.ndarray, int]:
     content = np.bitwise_xor.reduceat(mix(ids, 41), first)
     with np.errstate(over="ignore"):
         values = mix(content + place[first] * _U(0xD6E8FEB86659FD93), 50 + band.level)
-    margin = len(first) - band.differences
+    margin = len(first) - band.differences_from(len(ids))
     if margin <= 0:  # too few words hold anything: empty words count too, among sets of this kind
         empty = np.setdiff1d(np.arange(band.words, dtype=_U), place[first])
         values = np.concatenate([values, mix(empty, 150 + band.level)])
@@ -322,14 +329,20 @@ class JaccardJoin:
         hot = found.filter("kind = 1").select("a", F.col("b").alias("word"), "level", "margin")
         lost = hot.groupBy("a", "level").agg(F.count("*").alias("words"), F.first("margin").alias("margin")).filter("words >= margin")
         hot = written(hot.join(lost.select("a", "level"), ["a", "level"]).select("a", "word"), "jaccard-hot")
-        pivots = hot.groupBy("word").agg(F.min(F.struct(F.xxhash64("a", "word"), "a")).alias("pivot")).select("word", F.col("pivot.a").alias("pivot"))
-        drawn = hot.join(pivots, "word").filter(F.col("a") != F.col("pivot")).select(
+        drawing = hot.filter(F.pmod("word", F.lit(DRAWN)) == 0)
+        pivots = drawing.groupBy("word").agg(F.min(F.struct(F.xxhash64("a", "word"), "a")).alias("pivot")).select("word", F.col("pivot.a").alias("pivot"))
+        drawn = drawing.join(pivots, "word").filter(F.col("a") != F.col("pivot")).select(
             F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
         links = written(self._verified(pairs.unionByName(drawn).distinct()), "jaccard-links")
+        self.placed = connected_components(links, "a", "b")
         if hot.isEmpty():
             return links
-        rest = written(self._verified(self._between_components(hot, links)), "jaccard-links")
-        return links.unionByName(rest)
+        rest = written(self._verified(self._between_components(hot)), "jaccard-links")
+        if rest.isEmpty():
+            return links
+        links = links.unionByName(rest)
+        self.placed = connected_components(links, "a", "b")
+        return links
 
     def _candidates(self) -> DataFrame:
         total = self.signed.agg(F.sum("n")).first()[0] or 0
@@ -358,9 +371,9 @@ class JaccardJoin:
             near = near.join(sets.select(F.col("class").alias(side), F.col("ids").alias(f"ids_{side}")), side)
         return near.select("a", "b", "ids_a", "ids_b").mapInArrow(_linked(self.percent), "a long, b long")
 
-    def _between_components(self, hot: DataFrame, links: DataFrame) -> DataFrame:
+    def _between_components(self, hot: DataFrame) -> DataFrame:
         """Pairs of classes with an equal hot word that lie in different components and may be linked."""
-        comps = connected_components(links, "a", "b").select(F.col("node").alias("a"), "component")
+        comps = self.placed.select(F.col("node").alias("a"), "component")
         placed = hot.join(comps, "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = placed.groupBy("word").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
         rows = placed.join(mixed.select("word", "size"), "word").join(self._sketches().withColumnRenamed("class", "a"), "a")
@@ -372,9 +385,8 @@ class JaccardJoin:
         return dealt.groupBy("word", "i", "j").applyInArrow(_cells(self.percent), "a long, b long").distinct()
 
     def components(self) -> DataFrame:
-        """(class, component_id, links): the least document of all that a class reaches, and its number of found links."""
-        comps = connected_components(self.links, "a", "b")
-        placed = self.classes.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        """(class, component_id): the least document of all that a class reaches."""
+        placed = self.classes.join(self.placed.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
         return placed.join(least, "component").select("class", "component_id")
 
