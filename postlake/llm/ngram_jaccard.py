@@ -155,33 +155,38 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n", "class", "sketch"])
 
 
+#: Sketch words that are packed at once.
+PACKED_WORDS = 1_000_000
+
+
 def _packed_words(parts: int, percent: int):
-    """Each batch's sketch words, one row for each of the parts they are dealt to."""
+    """Each task's sketch words, packed by the parts they are dealt to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes among the entries that wait to be packed
+        values, names, levels, margins, counts = [], [], [], [], []
+        total = 0
+
+        def packed() -> pa.RecordBatch:
+            word = np.concatenate(values)
+            entry = np.repeat(np.arange(len(names), dtype=np.uint32), counts)
+            part = (word % _U(parts)).astype(np.uint32)
+            order = np.argsort(part, kind="stable")
+            word, entry, edges = word[order], entry[order], np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [[], [], [], []]
+            table = np.array(names, np.int64), np.column_stack([levels, margins]).astype(np.int32)
+            for p in np.flatnonzero(np.diff(edges)):
+                used, local = np.unique(entry[edges[p] : edges[p + 1]], return_inverse=True)
+                rows[0].append(int(p))
+                rows[1].append(np.sort(word[edges[p] : edges[p + 1]] & ~_ORDINAL | local.astype(_U)).tobytes())
+                rows[2].append(table[0][used].tobytes())
+                rows[3].append(table[1][used].tobytes())
+            for held in (seen, values, names, levels, margins, counts):
+                held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "words", "classes", "bands"])
+
         for batch in batches:
-            seen: set[int] = set()
-            values, names, levels, margins, counts = [], [], [], [], []
-
-            def packed() -> pa.RecordBatch:
-                word = np.concatenate(values)
-                entry = np.repeat(np.arange(len(names), dtype=_U), counts)
-                part = word % _U(parts)
-                order = np.argsort(part, kind="stable")
-                word, entry, part = word[order], entry[order], part[order].astype(np.int64)
-                edges = np.searchsorted(part, np.arange(parts + 1))
-                rows = [[], [], [], []]
-                table = np.array(names, np.int64), np.array(levels, np.int16), np.array(margins, np.int32)
-                for p in np.flatnonzero(np.diff(edges)):
-                    used, local = np.unique(entry[edges[p] : edges[p + 1]].astype(np.int64), return_inverse=True)
-                    rows[0].append(int(p))
-                    rows[1].append(np.sort(word[edges[p] : edges[p + 1]] & ~_ORDINAL | local.astype(_U)).tobytes())
-                    rows[2].append(table[0][used].tobytes())
-                    rows[3].append(np.column_stack([table[1][used].astype(np.int32), table[2][used]]).tobytes())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "words", "classes", "bands"])
-
-            total = 0
             for ids in shingle_sets(batch.column(0)):
                 if not len(ids) or (name := identity(ids)) in seen:
                     continue
@@ -194,13 +199,11 @@ def _packed_words(parts: int, percent: int):
                     levels.append(band.level)
                     margins.append(margin)
                     total += len(word)
-                if total > 4_000_000 or len(names) > 500_000:
+                if total > PACKED_WORDS:
                     yield packed()
                     total = 0
-                    for held in (values, names, levels, margins, counts):
-                        held.clear()
-            if total:
-                yield packed()
+        if total:
+            yield packed()
 
     return run
 

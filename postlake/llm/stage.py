@@ -18,8 +18,18 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows that a Python worker gets at once while a table is written, so long texts and sets don't pile up.
+ROWS_AT_ONCE = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later steps neither repeat it nor lose it with an executor."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_path(spark, what), spark.conf.get(_ROWS_SETTING)
+    spark.conf.set(_ROWS_SETTING, ROWS_AT_ONCE)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path)
