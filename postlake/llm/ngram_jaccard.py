@@ -323,7 +323,8 @@ class JaccardJoin:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.signed = written(self.docs.mapInArrow(_signatures, "doc_id long, n long, class long, sketch binary"), "jaccard-signatures")
         self.classes = written(
-            self.signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "jaccard-classes")
+            self.signed.filter("n > 0").groupBy("class").agg(
+                F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
         self.links = self._all_links()
 
     def _all_links(self) -> DataFrame:
@@ -354,12 +355,9 @@ class JaccardJoin:
             _packed_words(parts, self.percent), "part int, words binary, classes binary, bands binary")
         return written(packed.groupBy("part").applyInArrow(_meet, "kind int, a long, b long, level int, margin int"), "jaccard-candidates")
 
-    def _sketches(self) -> DataFrame:
-        return self.signed.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The linked ones among distinct pairs (a, b) of classes."""
-        one = self._sketches()
+        one = self.classes
         sides = pairs
         for side in "ab":
             sides = sides.join(one.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
@@ -367,7 +365,7 @@ class JaccardJoin:
             (100 * F.col("n_a") >= self.percent * F.col("n_b")) & (100 * F.col("n_b") >= self.percent * F.col("n_a"))
         ).select("a", "b", "n_a", "s_a", "n_b", "s_b")
         near = written(possible.mapInArrow(_near_enough(self.percent), "a long, b long"), "jaccard-near")
-        needed = near.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(self.classes, "class").filter("least is not null")
+        needed = near.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(self.classes.select("class", "least"), "class").filter("least is not null")
         texts = self.docs.join(needed.select(F.col("least").alias("doc_id"), "class"), "doc_id").dropDuplicates(["class"])
         sets = written(texts.select("class", "text").mapInArrow(_sets, "class long, ids binary"), "jaccard-sets")
         for side in "ab":
@@ -379,7 +377,7 @@ class JaccardJoin:
         comps = self.placed.select(F.col("node").alias("a"), "component")
         placed = hot.join(comps, "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = placed.groupBy("word").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        rows = placed.join(mixed.select("word", "size"), "word").join(self._sketches().withColumnRenamed("class", "a"), "a")
+        rows = placed.join(mixed.select("word", "size"), "word").join(self.classes.select(F.col("class").alias("a"), "n", "sketch"), "a")
         cells = F.ceil(F.col("size") / CELL).cast("int")
         mine = rows.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"))
         dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
@@ -389,7 +387,7 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """(class, component_id): the least document of all that a class reaches."""
-        placed = self.classes.join(self.placed.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        placed = self.classes.select("class", "least").join(self.placed.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
         return placed.join(least, "component").select("class", "component_id")
 

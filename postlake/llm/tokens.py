@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text for which arrays are made at once; a longer document makes a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
