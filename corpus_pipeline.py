@@ -26,8 +26,8 @@ def rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the quality classifier takes for good."""
-    model = quality_classifier.fit(docs, table(spark, folder, "labels"), "quality")
+    """Documents that the quality classifier takes for good; it learns from all documents, also those the rules rejected."""
+    model = quality_classifier.fit(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality")
     return _only(docs, quality_classifier.score(docs, model).filter("predicted = 1"))
 
 
