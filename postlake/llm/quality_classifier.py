@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int = FOLDS, held
     )
     texts = docs.filter(F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out)).select("doc_id", F.col("text").cast("string").alias("text"))
     counts = (
-        texts.join(known, "doc_id").select("text", "label").mapInArrow(_class_counts, "feature long, low long, high long")
+        texts.join(known.hint("merge"), "doc_id").select("text", "label").mapInArrow(_class_counts, "feature long, low long, high long")
         .groupBy("feature").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
         .toPandas()  # at most FEATURES + 1 rows
     )
