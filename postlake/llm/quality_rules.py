@@ -109,7 +109,7 @@ def _grams(forms: Column) -> Column:
 def log_ratios(measured: DataFrame, trusted: DataFrame) -> list[float]:
     """log(target / raw) for each bucket, from counts over all documents and all trusted ones."""
     good = trusted.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.lit(1).alias("good"))
-    marked = measured.select("doc_id", "forms").join(good, "doc_id", "left")
+    marked = measured.select("doc_id", "forms").join(good.hint("merge"), "doc_id", "left")
     counts = (
         marked.select(F.explode(_grams(F.col("forms"))).alias("bucket"), "good")
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
