@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     sides = ("clean_a", "toxic_a", "clean_b", "toxic_b")
     half = F.pmod(F.xxhash64("text"), F.lit(2)) * 2
     counted = (
-        texts.join(known, "doc_id").select("text", (half + F.col("label")).cast("int").alias("side"))
+        texts.join(known.hint("merge"), "doc_id").select("text", (half + F.col("label")).cast("int").alias("side"))
         .mapInArrow(count, "feature string, " + ", ".join(f"{n} long" for n in sides))
         .groupBy("feature").agg(*[F.sum(n).alias(n) for n in sides])
         .withColumns({"clean": F.col("clean_a") + F.col("clean_b"), "toxic": F.col("toxic_a") + F.col("toxic_b")})
