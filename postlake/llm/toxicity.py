@@ -1,13 +1,16 @@
 """Toxicity: a noisy channel undoes disguised spelling, then the restored words are scored.
 
-A token is suspicious if letters mix with digits or signs inside it, if a letter stands three times
-in a row, or if single characters stand apart from one another in a row. A suspicious token becomes
-a lattice: each character may stand for itself, for the letters it is used for, or for nothing (signs
-and repeated letters). Viterbi decoding finds the cheapest way through under a character trigram
-model, whose counts come from all documents, plus the channel's costs. All other tokens stand for
+Every token that holds anything but letters, or a doubled letter, becomes a lattice, and so does every
+run of tokens that have one character (and any signs) each, whatever white space is between them. Each
+character may stand for itself, for the letters it is used for, or for nothing (signs and repeated
+letters); a gap, which is a run of white space or signs, may also be a blank. Viterbi decoding finds the
+cheapest way through under a character trigram model, whose counts come from all documents, plus the
+channel's costs. The gaps stay marked in the reading: besides the words that the cheapest way ends by
+blanks, every run of 4 to 24 letters from one gap to another is a restored word. Where a token begins or ends with a sign that
+is used for a letter, the cheapest way that reads it as one counts as well. All other tokens stand for
 themselves.
 
-Features of a document are its distinct restored words and their first four and five letters. Over
+Features of a document are its distinct restored words, each by itself, and their first four and five letters. Over
 all training documents the toxic and the clean ones that hold a feature are counted, apart for two
 halves of the texts (copies fall into one half). A feature is evidence if a lower confidence bound of
 its share of toxic documents is high enough, and it is trusted no further than in its worse half; a
@@ -21,6 +24,7 @@ ones are ignored.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +43,7 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "*": "aeiou", "|": "il", "+": "t", "(": "c", "<": "c", "£": "l", "€": "e",
 }
-SPACERS = ".-_*~'`^:,/\\=+|"
+SPACERS = ".-_*~'`^:,/\\=+|#·•"
 FOLDS, HELD_OUT = 4, 2
 LEAST_TOXIC = 4
 CONFIDENCE = 2.6
@@ -51,15 +55,22 @@ FLUSH = 300_000
 
 _SIGNS = 28  # a-z, other letters, blank
 _EDGE = ".,;:?!\"'()[]{}<>|%&$#*…«»“”"
-_MIXED = re.compile(r"[a-z].*[^a-z\W].*[a-z]|[a-z]+[\d@$!|+(<£€._*~^:/\\=-]+[a-z]|[\d@$!|+(<£€]+[a-z]{2}|[a-z]{2}[\d@$]+$", re.ASCII)
+_UNREAD = ".,;:?\"'[]{}>%&#…«»“”"  # signs of the edges that stand for no letter
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_SINGLE = r"(?=\S)[^\w\s]*+(?:\w[^\w\s]*+)?+(?!\S)"  # a token with one letter or digit at most
+_SPACED = re.compile(rf"(?<!\S){_SINGLE}(?:\s+{_SINGLE}){{2,}}")
+_HEAD = re.compile(r"(?:([^\W\d_])(?!\1))*+")
+_LETTER = re.compile(r"[^\W_]")
 _CODES = np.full(256, 27, np.int64)
 _CODES[ord("a") : ord("z") + 1] = np.arange(26)
 _CODES[ord("A") : ord("Z") + 1] = np.arange(26)
 _CODES[0x80:] = 26
 
 
+_READ = {c for c in LEET if not c.isdigit()}
+
+
 def _code(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else 26 if ord(c) >= 128 else 27
 
@@ -91,63 +102,158 @@ def character_costs(docs: DataFrame) -> np.ndarray:
     return -np.log((cube + 20.0 * lower[None]) / (cube.sum(axis=2, keepdims=True) + 20.0))
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each character what it may stand for ('': nothing), with the channel's cost."""
+def _is_gap(c: str) -> bool:
+    return not c.isalnum() and c not in LEET
+
+
+def lattice(token: str, read_edges: bool = False, start: int = 0) -> list[list[tuple[str, float]]]:
+    """For each character or gap what it may stand for ('': nothing, ' ': a word end), with the channel's cost.
+
+    read_edges: signs at the edges that are used for letters are not left out. start: the character to begin with."""
     out = []
-    for k, c in enumerate(token):
-        before = token[k - 1] if k else ""
+    first = next((k for k, c in enumerate(token) if c.isalnum()), len(token))
+    last = next((k for k in range(len(token) - 1, -1, -1) if token[k].isalnum()), -1)
+    for k in range(start, len(token)):
+        c, before = token[k], token[k - 1] if k else ""
         if c.isalpha():
             arcs = [(c, 0.0)]
             if c == before:
                 arcs = [(c, 1.5 if token[k - 2 : k] != c * 2 else 6.0), ("", 0.2)]
-        else:
+        elif c.isdigit():
             arcs = [(x, 0.5) for x in LEET.get(c, "")]
-            edge = k == 0 or k == len(token) - 1
-            if not c.isdigit():
-                arcs.append(("", 0.3 if edge or c in SPACERS else 1.5))
-            elif not arcs or edge:
+            if arcs and c == before:
+                arcs.append(("", 0.2))
+            elif not arcs or k in (0, len(token) - 1):
                 arcs.append(("", 3.0))
+        elif before and _is_gap(c) and _is_gap(before):
+            continue  # one gap
+        else:
+            arcs = [(x, 0.5) for x in LEET.get(c, "")]
+            inside = first < k < last
+            if not (arcs and read_edges) or inside:
+                arcs.append(("", 1.5 if inside and c not in SPACERS and not c.isspace() else 0.3))
+            if inside:
+                arcs.append((" ", 0.5))
         out.append(arcs)
     return out
 
 
+#: Readings longer than this are cut by what all of them begin with, so that long tokens stay cheap.
+LONG = 100
+_GAP = "\0"
+#: Letters of the restored words that go from any gap to any other.
+LEAST_LETTERS, MOST_LETTERS = 4, 24
+#: Tokens with more features, and longer ends, are not remembered.
+REMEMBERED = 24
+
+
+def _undoubled(word: str, costs: list[float]) -> str:
+    """The reading of a word of letters: the ways of a doubled letter meet again at the next letter, so each is decided alone."""
+    out, at = [], 0
+    for m in _DOUBLED.finditer(word):
+        k = m.start()
+        before, letter, after = _code(word[k - 1]) if k else 27, _code(word[k]), _code(word[k + 2]) if k + 2 < len(word) else 27
+        inner = (before * _SIGNS + letter) * _SIGNS
+        kept = 1.5 + costs[inner + letter] + costs[(letter * _SIGNS + letter) * _SIGNS + after]
+        if 1.2 + costs[inner + after] <= kept:
+            out.append(word[at : k + 1])
+            at = k + 2
+    return "".join(out) + word[at:]
+
+
+def _words(reading: str) -> set[str]:
+    """The words that a reading with marked gaps may hold."""
+    words = set(reading.replace(_GAP, "").split())
+    if _GAP in reading or " " in reading:
+        pieces = re.split(f"[{_GAP} ]+", reading)
+        words.update(p for p in pieces if len(p) > 1)
+        for k in range(len(pieces)):
+            word = ""
+            for piece in pieces[k:]:
+                word += piece
+                if len(word) > MOST_LETTERS:
+                    break
+                if len(word) >= LEAST_LETTERS:
+                    words.add(word)
+    return words
+
+
 def decode(token: str, costs: np.ndarray) -> str:
-    """The cheapest letters for a lower-cased token."""
-    best = {(27, 27): (0.0, "")}
-    for arcs in lattice(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+    """The cheapest letters and word ends for a lower-cased token or run."""
+    return _reading(token, costs.ravel().tolist()).replace(_GAP, "")
+
+
+def _reading(token: str, costs: list[float], read_edges: bool = False) -> str:
+    """As decode, under costs as a flat list, with _GAP for every gap that is not a blank."""
+    head = _HEAD.match(token)[0]  # single letters have one way
+    if not head.isalpha():
+        head = ""
+    done, start = [head], (27, 27, *map(_code, head[-2:]))
+    best = {start[-2] * _SIGNS + start[-1]: (0.0, "")}
+    for step, arcs in enumerate(lattice(token, read_edges, len(head))):
+        mark = _GAP if arcs[-1][0] == " " else ""
+        following: dict[int, tuple[float, str]] = {}
+        for state, (cost, text) in best.items():
             for letter, channel in arcs:
                 if letter:
-                    c = _code(letter)
-                    key, value = (b, c), (cost + channel + costs[a, b, c], text + letter)
+                    place = state * _SIGNS + _code(letter)
+                    key, value = place % _SIGNS**2, (cost + channel + costs[place], text + letter)
                 else:
-                    key, value = (a, b), (cost + channel + 1.0, text)
+                    key, value = state, (cost + channel + 1.0, text + mark)
                 if key not in following or value < following[key]:
                     following[key] = value
         best = following
-    return min((cost + costs[a, b, 27], text) for (a, b), (cost, text) in best.items())[1]
+        if step % LONG == LONG - 1:
+            common = os.path.commonprefix([text for _, text in best.values()])
+            done.append(common)
+            best = {key: (cost, text[len(common) :]) for key, (cost, text) in best.items()}
+    return "".join(done) + min((cost + costs[state * _SIGNS + 27], text) for state, (cost, text) in best.items())[1]
 
 
 class Restorer:
     """Restored words and their features, with a bounded memory of tokens."""
 
     def __init__(self, costs: np.ndarray) -> None:
-        self.costs = costs
+        self.costs = costs.ravel().tolist()
         self.memory: dict[str, tuple[str, ...]] = {}
+        self.ends: dict[tuple[str, bool], str] = {}
+
+    def reading(self, token: str, read_edges: bool = False) -> str:
+        """_reading; what follows the single letters of the start depends on the last two of them only and is remembered."""
+        head = _HEAD.match(token)[0]
+        known = max(len(head) - 2, 0) if head.isalpha() else 0
+        end = token[known:]
+        if len(end) > REMEMBERED:
+            return token[:known] + _reading(end, self.costs, read_edges)
+        found = self.ends.get((end, read_edges))
+        if found is None:
+            if len(self.ends) >= MEMORY // 4:
+                self.ends.clear()
+            found = self.ends[end, read_edges] = _reading(end, self.costs, read_edges)
+        return token[:known] + found
+
+    def words(self, token: str) -> set[str]:
+        """The token as it stands and the words of its readings."""
+        core = token.strip(_UNREAD)
+        words = {token.strip(_EDGE)}
+        if core.isalpha() and not _DOUBLED.search(core):
+            words.add(core)
+        elif core.isalpha() and not _TRIPLE.search(core):
+            words.add(_undoubled(core, self.costs))
+        elif core:
+            words |= _words(self.reading(token))
+            if core[0] in _READ or core[-1] in _READ:
+                words |= _words(self.reading(core, True))
+        return words - {""}
 
     def features(self, token: str) -> tuple[str, ...]:
         known = self.memory.get(token)
         if known is None:
-            words = {token.strip(_EDGE)}
-            if not token.isalpha() and _MIXED.search(token) or _TRIPLE.search(token):
-                words.add(decode(token[:200], self.costs) if len(token) <= 200 else "".join(
-                    decode(token[k : k + 200], self.costs) for k in range(0, len(token), 200)))
-            words.discard("")
-            known = tuple({w for w in words} | {f"{w[:n]}~" for w in words for n in PREFIXES if len(w) >= n})
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[token] = known
+            known = _features(self.words(token))
+            if len(known) <= REMEMBERED:
+                if len(self.memory) >= MEMORY:
+                    self.memory.clear()
+                self.memory[token] = known
         return known
 
     def of(self, text: str | None) -> set[str]:
@@ -159,10 +265,15 @@ class Restorer:
         for token in set(text.split()):
             found.update(self.memory.get(token) or self.features(token))
         for m in _SPACED.finditer(text):
-            found.update(self.features(decode(m[0].replace(" ", "."), self.costs)))
+            if len(_LETTER.findall(m[0])) > 1:
+                found.update(_features(_words(_reading(m[0], self.costs))))
         return found
 
 
+def _features(words: set[str]) -> tuple[str, ...]:
+    return tuple(words | {f"{w[:n]}~" for w in words for n in PREFIXES if len(w) >= n})
+
+
 @dataclass
 class Model:
     costs: np.ndarray

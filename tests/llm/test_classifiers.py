@@ -150,6 +150,19 @@ def test_disguised_words_are_restored(spark, toxic_model):
     assert toxicity.score(documents(spark, []), model).collect() == []
 
 
+def test_every_sign_doubled_letter_and_gap_is_decoded(spark, toxic_model):
+    _, _, model = toxic_model
+    hidden = [
+        "idio+", "(an id10+)", "m0r0n", "(lown", "c|0wn", "1d10t.", "idiiot", "iddiioott", "morron", "mmoorroonn", "m,o,r,o,n", "m'o'r'o'n",
+        "m#o#r#o#n", "i·d·i·o·t", "m..o..r..o..n", "i  d  i  o  t", "i\td\ti\to\tt", "m\no\nr\no\nn", "m - o - r - o - n!", "m. o. r. o. n.",
+        "such a m o r o n", "y o u i d i o t", "loran/moron", "ma,idi0t,ti", "m" + "0" * 3 + "r0n", "x" * 300 + " m0r0n", "ma-" * 300 + "m0r0n"]
+    clean = ["|" * 5000 + "a", "-" * 20_000 + "ab", "a b c d", "- * -", "1 2 3", "12-34-56", "mall, geese!", "* " * 2000]
+    got = sorted(toxicity.score(documents(spark, hidden + clean), model).collect(), key=lambda r: r.doc_id)
+    assert [(t, r.predicted) for t, r in zip(hidden + clean, got)] == [(t, 1) for t in hidden] + [(t, 0) for t in clean]
+    restorer = toxicity.Restorer(model.costs)
+    assert {"moron", "idiot"} <= restorer.of("so a m o r o n. or you.i.d.i.o.t")
+
+
 def test_decoding_is_the_cheapest_path():
     costs = np.random.default_rng(1).uniform(0.5, 6.0, (28, 28, 28))
 
