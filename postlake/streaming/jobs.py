@@ -78,11 +78,15 @@ def read_seen(spark: SparkSession, keys: Sequence[str], target: str) -> DataFram
     )
 
 
-def new_contents(stream: DataFrame, keys: Sequence[str] = ("url", "content_digest"), time: str = "captured_at",
-                 delay: str = "90 days") -> DataFrame:
-    """Each page content once; unchanged re-captures within the delay are dropped here and
-    counted by the sightings path."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+def new_contents(stream: DataFrame, keys: Sequence[str] = ("url", "content_digest")) -> DataFrame:
+    """Each page content once, however late or far apart its captures are; unchanged re-captures
+    are dropped here and counted by the sightings path.
+
+    There is no watermark: all keys met so far stay in the state under the checkpoint folder. For
+    more keys than executors' memory holds, set ``spark.sql.streaming.stateStore.providerClass`` to
+    Spark's RocksDB provider, which keeps them on disk.
+    """
+    return stream.dropDuplicates(list(keys))
 
 
 def opening_sessions(df: DataFrame, keys: Sequence[str], time: str, gap_days: int = limits.SAME_OPENING_DAYS,

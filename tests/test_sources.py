@@ -212,3 +212,20 @@ def test_streams(spark, tmp_path):
     query = fresh.writeStream.format("memory").queryName("fresh").option("checkpointLocation", folder + "-new").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("fresh").count() == 3
+
+
+def test_new_contents_come_once_however_late_or_far_apart(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(batch, *captures):
+        rows = [("c", url, "a.id", AT, digest, None, None, None, AT + timedelta(days=day), 200, "ok", 1, 0, "[]", AT, "v") for url, digest, day in captures]
+        spark.createDataFrame(rows, schemas.CAPTURE).coalesce(1).write.parquet(f"{source}/b{batch}")
+        fresh = stream.new_contents(stream.capture_stream(spark, source))
+        fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", str(tmp_path / "ck")).trigger(
+            availableNow=True).start().awaitTermination()
+        return sorted((r.url, r.content_digest) for r in spark.read.parquet(target).collect())
+
+    assert put(1, ("u1", "d", 0), ("u1", "d", 1)) == [("u1", "d")]
+    assert put(2, ("u2", "d", 400)) == [("u1", "d"), ("u2", "d")]
+    assert put(3, ("u3", "d", -300), ("u1", "d", -300), ("u1", "e", 0)) == [("u1", "d"), ("u1", "e"), ("u2", "d"), ("u3", "d")]
+    assert put(4, ("u1", "d", 900), ("u2", "d", 900)) == [("u1", "d"), ("u1", "e"), ("u2", "d"), ("u3", "d")]
