@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postlake.catalog.base import query
 from postlake.functions import attributes, classify, jobs, jsonld, places, salary, text, titles, urls
 from postlake.functions import snapshot as profile
 from postlake.plans.silver import explode_postings, parse_captures
+from postlake.session import checkpoint_dir
 from postlake.sources import feeds, publish, warc
 
 
@@ -381,11 +384,17 @@ def _(t):
     select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[.]', '') as domain,
            sha1(html) as body_sha1 from pages""")
 def _(t):
-    """Each page as an archive of one response record, read back."""
+    """Pages as archive files of many response records, half of them gzipped, read back.
+
+    The stated digest holds the page id."""
     message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.col("html"))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: 2031-02-03T04:05:06Z\r\nWARC-Target-URI: "), F.col("url"),
-        F.lit("\r\nContent-Length: "), F.octet_length(message).cast("string"), F.lit("\r\n\r\n"), message, F.lit("\r\n\r\n"))
-    files = t.pages.select(F.col("page_id").cast("string").alias("path"), record.cast("binary").alias("content"))
-    return warc.split_records(files).select(
-        F.col("warc_filename").cast("bigint").alias("page_id"), "url", "domain", F.sha1(F.col("body").cast("binary")).alias("body_sha1"))
+        F.lit("\r\nWARC-Payload-Digest: page:"), F.col("page_id").cast("string"),
+        F.lit("\r\nContent-Length: "), F.octet_length(message).cast("string"), F.lit("\r\n\r\n"), message)
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/archived-pages-{uuid.uuid4().hex}"
+    for k, coding in enumerate(("none", "gzip")):
+        t.pages.filter(F.pmod("page_id", F.lit(2)) == k).select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option(
+            "maxRecordsPerFile", 1000).text(f"{path}/{coding}", compression=coding)
+    return warc.read_warc(t.spark, f"{path}/*").select(
+        F.col("content_digest").cast("bigint").alias("page_id"), "url", "domain", F.sha1(F.col("body").cast("binary")).alias("body_sha1"))

@@ -1,11 +1,12 @@
 import gzip
+import hashlib
 import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from postlake import schemas
+from postlake import catalog, schemas
 from postlake.plans.publish import JOB_VALUES, import_source
 from postlake.plans.silver import capture_pages
 from postlake.sources import feeds, intake, lake, publish, synthetic, warc
@@ -229,3 +230,14 @@ def test_new_contents_come_once_however_late_or_far_apart(spark, tmp_path):
     assert put(2, ("u2", "d", 400)) == [("u1", "d"), ("u2", "d")]
     assert put(3, ("u3", "d", -300), ("u1", "d", -300), ("u1", "e", 0)) == [("u1", "d"), ("u1", "e"), ("u2", "d"), ("u3", "d")]
     assert put(4, ("u1", "d", 900), ("u2", "d", 900)) == [("u1", "d"), ("u1", "e"), ("u2", "d"), ("u3", "d")]
+
+
+def test_archived_pages_are_read_from_files_of_many_records(spark, monkeypatch, tmp_path):
+    pages = [(i, f"https://www.p{i % 3}.test/", f"<p>é{i}</p>\r\n\r\nWARC/1.1") for i in range(20)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    files = []
+    monkeypatch.setattr(warc, "read_warc", lambda spark, path, read=warc.read_warc: files.append(read(spark, path)) or files[0])
+    rows = catalog.QUERIES["archived_pages"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, u, f"p{i % 3}.test", hashlib.sha1(h.encode()).hexdigest()) for i, u, h in pages]
+    names = [r.warc_filename for r in files[0].select("warc_filename").distinct().collect()]
+    assert sorted(n.endswith(".gz") for n in names) == [False, True]
