@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlake.llm import (
-    decontamination, licenses, lm_scoring, ngram_jaccard, quality_classifier, quality_rules, sentencepieces, toxicity, url_filters, warc,
+    decontamination, licenses, line_dedup, lm_scoring, ngram_jaccard, quality_classifier, quality_rules, reversed_search,
+    sentencepieces, toxicity, url_filters, va_clustering, warc,
 )
 from postlake.llm.stage import shared_path, table
 
@@ -198,3 +200,109 @@ from sized join (select doc_id, min(other) as component_id from reach group by d
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
     return quality_rules.quality_rules(table(spark, folder, "documents"), trusted)
+
+
+@query
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op11_line_dedup"] = r"""
+with texts as (
+    select row_number() over () as row_id, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), placed as (
+    select row_id, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as position from texts
+), keyed as (
+    select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from placed
+), frequent as (
+    select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), marked as (
+    select keyed.*, frequent.key is not null and keyed.doc_id <> frequent.keeper as gone
+    from keyed left join frequent on keyed.key = frequent.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by position) filter (where not gone), '')) as kept_sha256
+from marked group by row_id, doc_id
+"""
+
+
+@query
+def op12_reversed_search(spark: SparkSession, folder: str) -> DataFrame:
+    return reversed_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op12_reversed_search"] = r"""
+with texts as (
+    select row_number() over () as row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), totals as (
+    select count(*) as docs, cast(sum(len(terms)) as bigint) as all_terms from texts where len(terms) > 0
+), wanted as (
+    select row_number() over () as item, item_id,
+           list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as terms
+    from benchmark
+), postings as (
+    select item, item_id, unnest(terms) as term from wanted
+), occurrences as (
+    select row_id, doc_id, len(terms) as n, unnest(terms) as term from texts
+), counts as (
+    select row_id, doc_id, n, term, count(*) as tf from occurrences where term in (select term from postings) group by all
+), weights as (
+    select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from counts, totals group by term, docs
+), scored as (
+    select item, item_id, row_id, doc_id,
+           cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // all_terms)))) as bigint) as score
+    from counts join weights using (term) join postings using (term), totals group by all
+), ranked as (
+    select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query
+def op13_va_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return va_clustering.cluster_report(table(spark, folder, "embeddings"))
+
+
+def _rounds_sql(rounds: int = 3) -> str:
+    """Assignments a0, a1, ... and centroids c1, c2, ... of the rounds, as common table expressions."""
+    assigned = """a{r} as materialized (
+    select vec_id, row_id, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance from (
+        select p.vec_id, p.row_id, c.cluster, cast(sum((p.x - c.x) * (p.x - c.x)) as bigint) as distance
+        from placed p join c{r} c using (d) group by p.vec_id, p.row_id, c.cluster) group by vec_id, row_id
+)"""
+    moved = """c{n} as materialized (
+    select c.cluster, c.d, coalesce(m.x, c.x) as x from c{r} c left join (
+        select a.cluster, p.d, cast(floor(cast(sum(p.x) as double) / count(*)) as bigint) as x
+        from placed p join a{r} a using (row_id) group by a.cluster, p.d) m on m.cluster = c.cluster and m.d = c.d
+)"""
+    parts = [part.format(r=r, n=r + 1) for r in range(rounds) for part in (assigned, moved)]
+    return ",\n".join([*parts, assigned.format(r=rounds)])
+
+
+SQL["op13_va_clustering"] = f"""
+with kept as materialized (
+    select row_number() over () as row_id, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as whole
+    from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), placed as materialized (
+    select row_id, vec_id, unnest(whole) as x, generate_subscripts(whole, 1) as d from kept
+), first as (
+    select row_number() over (order by hash, vec_id, whole) - 1 as cluster, whole from (
+        select vec_id, whole, sha256('1:' || vec_id) as hash from kept order by hash, vec_id, whole limit 16)
+), c0 as (
+    select cluster, unnest(whole) as x, generate_subscripts(whole, 1) as d from first
+), {_rounds_sql()}
+select a.vec_id, cast(a.cluster as integer) as cluster, a.distance, s.cluster_inertia, cast(t.inertia as bigint) as inertia, g.centroid_sha256
+from a3 a
+join (select cluster, cast(sum(distance) as bigint) as cluster_inertia from a3 group by cluster) s using (cluster)
+join (select cluster, sha256(string_agg(cast(x as varchar), ',' order by d)) as centroid_sha256 from c3 group by cluster) g using (cluster),
+(select sum(distance) as inertia from a3) t
+"""
