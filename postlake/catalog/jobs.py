@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta, timezone
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from postlake.catalog.base import AS_OF, COMPARABLE, HOST, JOBS, LIFECYCLE, MIDPOINT, RUNS, SOURCES, query
@@ -9,8 +13,10 @@ from postlake.operators import breakdown as bd
 from postlake.operators import market, merge, policy, quality, salary_stats, search, tags
 from postlake.operators.filters import JobFilters, apply_filters, lifecycle
 from postlake.operators.pay_rule import comparable_salary, monthly_idr_recorded, monthly_midpoint
-from postlake.plans import gold
+from postlake.plans import gold, publish
 from postlake.functions.urls import publisher_site, safe_link
+from postlake.session import checkpoint_dir
+from postlake.sources import versions
 
 FREE = {"strict_codes": False}
 
@@ -500,3 +506,81 @@ def _(t):
     table, audit = merge.apply_decisions(registry, decisions, AS_OF)
     return audit.select(F.col("entity_id").alias("id"), F.col("refusal").alias("refusal_text")).join(
         table.select("id", F.col("is_paused").alias("paused_now")), "id")
+
+
+# --- published runs: customers as postings of two sources, five runs -------------------------
+
+# Two boards list customers; what they list is decided by the balance, so some are listed by both.
+LISTED = """
+select c_custkey as k, c_name as company_name, c_mktsegment as segment, c_acctbal as b, concat('Staff ', c_mktsegment) as title from {customer}
+"""
+RUN_TIME = "timestamp '2000-06-01 00:00:00'"
+
+
+def _published(t) -> versions.VersionedTables:
+    """First import of two sources, a complete snapshot of the first, a refused run, a snapshot with rejects."""
+    store = versions.VersionedTables(t.spark, f"{checkpoint_dir(t.spark).rstrip('/')}/published-{uuid.uuid4().hex}")
+    registry = t.view(SOURCES).select("id", "permission_status", "is_paused", "connector", "reviewed_at")
+    approved = F.lit("APPROVED"), F.lit(False), F.lit("feed"), F.expr(RUN_TIME)
+    registry = registry.unionByName(registry.limit(1).select(
+        F.explode(F.array(F.lit("board"), F.lit("career"))).alias("id"), *[c.alias(n) for c, n in zip(approved, registry.columns[1:])]))
+    listed = t.view(LISTED)
+
+    def rows(where: str, title: str = "title"):
+        return listed.filter(where).select(
+            F.col("k").cast("string").alias("source_key"), F.expr(title).alias("title"), "company_name",
+            F.create_map(F.lit("key"), F.col("k").cast("string"), F.lit("title"), F.expr(title)).alias("raw_fields"))
+
+    senior = "case when segment = 'BUILDING' then concat('Senior ', title) else title end"
+    day = datetime(2000, 6, 1, tzinfo=timezone.utc)
+    for n, (source, where, title, whole) in enumerate((
+        ("board", "b < 5000", "title", False), ("career", "b >= 4000", "upper(title)", False), ("board", "b < 3000", senior, True),
+        ("NATION_3", "b < 0", "title", False), ("career", "b >= 4000", "case when segment <> 'MACHINERY' then title end", True),
+    )):
+        publish.run_source(store, registry, rows(where, title), source, day + timedelta(days=n), replaces_snapshot=whole)
+    return store
+
+
+@query("published_runs", """
+    with counted as (
+        select count(*) filter (where b < 5000) as board, count(*) filter (where b >= 4000) as career,
+               count(*) filter (where b >= 4000 and b < 5000) as both_list, count(*) filter (where b < 3000) as left_over,
+               count(*) filter (where b < 3000 and segment = 'BUILDING') as changed,
+               count(*) filter (where b >= 4000 and segment = 'MACHINERY') as untitled, count(*) as all_listed,
+               count(*) filter (where b >= 3000 and b < 4000) as orphans from listed
+    )
+    select cast(1 as bigint) as number, 'board' as source_id, 'SUCCEEDED' as status, null as message, true as published, board as records_seen, board as records_created,
+           0 as records_updated, 0 as records_unchanged, 0 as records_rejected, 0 as cross_source_matches, null as retired_records,
+           null as retired_jobs, board as jobs_after, board as records_after from counted
+    union all select 2, 'career', 'SUCCEEDED', null, true, career, career, 0, 0, 0, both_list, null, null, all_listed, board + career from counted
+    union all select 3, 'board', 'SUCCEEDED', null, true, left_over, 0, changed, left_over - changed, 0, 0, board - left_over, orphans,
+                     all_listed - orphans, left_over + career from counted
+    union all select 4, 'NATION_3', 'REFUSED', 'not approved', false, 0, 0, 0, 0, 0, 0, null, null, all_listed - orphans, left_over + career from counted
+    union all select 5, 'career', 'FAILED', 'incomplete snapshot (some records were rejected); nothing was published', false, career, 0, 0, 0, untitled,
+                     0, null, null, all_listed - orphans, left_over + career from counted""", listed=LISTED)
+def _(t):
+    """The log of five runs, each with the number of jobs and records that readers of its version see."""
+    store = _published(t)
+    sizes = [
+        store.read("jobs", n).agg(F.lit(n).cast("bigint").alias("number"), F.count("*").alias("jobs_after"))
+        .withColumn("records_after", store.read("records", n).agg(F.count("*").alias("n")).scalar()) for n in store.numbers()
+    ]
+    counts = ("records_seen", "records_created", "records_updated", "records_unchanged", "records_rejected", "cross_source_matches", "retired_records", "retired_jobs")
+    return store.runs().select("number", "source_id", "status", "message", "published", *counts).join(reduce(lambda a, b: a.unionByName(b), sizes), "number")
+
+
+@query("published_jobs", """
+    select company_name, b < 5000 as after_first, true as after_second, b < 3000 or b >= 4000 as after_third,
+           case when b < 3000 and segment = 'BUILDING' then concat('Senior ', title) when b < 5000 then title else upper(title) end as last_title,
+           case when b < 5000 then 'board' else 'career' end as primary_source_id,
+           case when b < 3000 then cast('2000-06-03' as date) when b >= 4000 then cast('2000-06-02' as date) else cast('2000-06-01' as date) end as last_seen
+    from listed""", listed=LISTED)
+def _(t):
+    """Jobs as readers of the first three versions see them; the row is that of the last version that has the job."""
+    store = _published(t)
+    seen = reduce(lambda a, b: a.unionByName(b), [store.read("jobs", n).withColumn("number", F.lit(n)) for n in (1, 2, 3)])
+    newest = F.max_by(F.struct("title", "primary_source_id", "last_seen_at"), "number")
+    jobs = seen.groupBy("company_name").agg(newest.alias("j"), *[
+        F.bool_or(F.col("number") == n).alias(f"after_{name}") for n, name in enumerate(("first", "second", "third"), 1)])
+    return jobs.select("company_name", "after_first", "after_second", "after_third", F.col("j.title").alias("last_title"),
+                       F.col("j.primary_source_id").alias("primary_source_id"), F.to_date("j.last_seen_at").alias("last_seen"))
