@@ -65,6 +65,8 @@ class PieceTable:
         self.length = [len(x.decode("utf-8", "replace")) for x in self.surface]
         self.right: dict[int, tuple] = {}
         self.left: dict[int, tuple] = {}
+        if any(BLANK in name.lstrip(BLANK) for name in self.piece):
+            raise ValueError("texts are cut before blanks, but a piece of this model holds a blank behind another character")
         self.beside = {p[k : k + 2] for p in self.piece for k in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for name, i in self.piece.items():
@@ -143,9 +145,9 @@ class PieceTable:
         return array("I", out).tobytes()
 
     def borders(self, part: str) -> list[str]:
-        """The part cut where no piece holds the two characters side by side; only the last border of plain words."""
-        if part[1:-1].isalpha():
-            return [part] if part[-2:] in self.beside else [part[:-1], part[-1]]
+        """The part cut at every place where no piece holds the two characters side by side; plain words stay whole."""
+        if part[1:-1].isalpha() and part[-2:] in self.beside:
+            return [part]
         cuts = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in self.beside]
         return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
 
@@ -154,7 +156,7 @@ class PieceTable:
         known = self.parts.get(part)
         if known is None:
             runs = self.borders(part)
-            known = self.tokens(part) if len(runs) == 1 else b"".join(map(self.part, runs))
+            known = self.tokens(part) if len(runs) == 1 else b"".join(map(self.part, runs))  # runs have no borders: no deeper call
             if len(part) <= PART_CHARS:
                 if len(self.parts) >= MEMORY_PARTS:
                     self.parts.clear()
