@@ -39,10 +39,10 @@ NOTICE_PHRASES = {
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-# How free a licence leaves its reader, by the start of its identifier or label.
+# How free a licence leaves its reader, by the first parts of its identifier or label.
 FREEDOM = {
     "mit": 1.0, "apache": 0.95, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "zlib": 1.0, "cc-by-nc": 0.2,
-    "cc-by-sa": 0.5, "cc-by": 0.9, "mpl": 0.6, "lgpl": 0.5, "agpl": 0.2, "gpl": 0.3, "proprietary": 0.0,
+    "cc-by-nd": 0.4, "cc-by-sa": 0.5, "cc-by": 0.9, "mpl": 0.6, "lgpl": 0.5, "agpl": 0.2, "gpl": 0.3, "proprietary": 0.0,
 }
 UNKNOWN_FREEDOM = 0.1
 SCHEMA = (
@@ -52,6 +52,9 @@ SCHEMA = (
 
 _BINDING = {"with": 3, "and": 2, "or": 1}
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:-]+)")
+_VERSION = re.compile(r"v?[0-9.]+\+?$")
+#: What may stand behind an expression: the end, or a sign that no expression goes on with.
+_BEHIND = re.compile(r"\s*($|[^\s\w().+:])")
 _EXPRESSION = re.compile(r"SPDX-License-Identifier:([^\n]*)", re.IGNORECASE | re.ASCII)
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -59,10 +62,13 @@ _WORD_BYTES = bytes(
 
 
 def freedom(identifier: str) -> float:
-    """The freedom of the longest known start of a licence identifier."""
-    for end in range(len(identifier), 0, -1):
-        if identifier[:end] in FREEDOM:
-            return FREEDOM[identifier[:end]]
+    """The freedom of the known name that holds most of an identifier's dash-separated parts; a version may be glued to the last."""
+    parts = identifier.split("-")
+    for count in range(len(parts), 0, -1):
+        name = "-".join(parts[:count])
+        for form in (name, _VERSION.sub("", name)):
+            if form in FREEDOM:
+                return FREEDOM[form]
     return UNKNOWN_FREEDOM
 
 
@@ -93,10 +99,10 @@ def to_postfix(text: str) -> tuple[list[str], bool]:
         else:
             if not operand_due:
                 break
-            output.append(low)
+            output.append(low.rstrip(".:-") or low)
             operand_due = False
         at = m.end()
-    whole = not operand_due and "(" not in pending and not text[at:].strip(" \t\r*/#-<>")
+    whole = not operand_due and "(" not in pending and bool(_BEHIND.match(text, at))
     if operand_due and pending and pending[-1] != "(":
         pending.pop()
     output.extend(op for op in reversed(pending) if op != "(")
@@ -127,7 +133,7 @@ def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
 def _automaton(phrases: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for phrase, label in phrases:
-        automaton.add_word(f" {phrase} ", (len(phrase) + 1, label))
+        automaton.add_word(f" {phrase} ", (phrase.count(" ") + 1, label))
     automaton.make_automaton()
     return automaton
 
@@ -138,9 +144,11 @@ def scan(text: str | None, base: dict[str, str], notices: dict[str, str]) -> dic
     table = tuple((p, f"b:{n}") for p, n in base.items()) + tuple((p, f"n:{n}") for p, n in notices.items() if p not in base)
     places, base_labels, other, tagged = [], set(), set(), False
     if words:
-        for end, (back, label) in _automaton((*table, (TAG, "t:"))).iter(f" {words} "):
+        spaced, blanks, counted = f" {words} ", 0, 0
+        for end, (length, label) in _automaton((*table, (TAG, "t:"))).iter(spaced):
+            blanks, counted = blanks + spaced.count(" ", counted, end), end  # ends come in order, so each blank is counted once
             if label[0] == "b":
-                places.append(words.count(" ", 0, end - back))
+                places.append(blanks - length)
                 base_labels.add(label[2:])
             elif label[0] == "n":
                 other.add(label[2:])

@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 import struct
+import time
+from array import array
 
 import pytest
+import sentencepiece
 
 from postlake.llm import decontamination, licenses, sentencepieces, url_filters
 from postlake.llm.queries import piece_model
@@ -173,3 +176,26 @@ def test_benchmark_blocks_cover_every_item(spark):
     bench = spark.createDataFrame([(i, f"item number {i}") for i in range(200)], "item_id long, text string")
     found = [n for block in decontamination.item_blocks(bench, 300) for n, _ in block]
     assert sorted(found) == list(range(200))
+
+
+def test_long_parts_without_blanks_encode_as_the_library_does():
+    processor, table = sentencepiece.SentencePieceProcessor(model_file=piece_model()), sentencepieces.piece_table(piece_model())
+    japanese, thai = "日本語の文章はとても長い。これは試験です" * 1000, "ภาษาไทยไม่มีช่องว่าง" * 1000
+    for text in (japanese, thai, "é" * 20_000, "zq" * 10_000, "".join((japanese[:700], "é" * 3000, "zq!" * 900, thai[:3000], "x" * 5000))):
+        ids = array("I", table.encode(text)).tolist()
+        assert ids == processor.encode(text, add_bos=True, add_eos=True)
+        assert table.decode(array("I", ids).tobytes()) == processor.decode(ids)
+
+
+def test_licence_places_in_one_pass_and_whole_names():
+    text = "mit license general public license " * 20_000
+    started = time.perf_counter()
+    found = licenses.scan(text, licenses.BASE_PHRASES, licenses.NOTICE_PHRASES)
+    assert time.perf_counter() - started < 2
+    assert (found["n_base"], found["first_word"], found["last_word"], found["n_words"]) == (40_000, 0, 99_997, 100_000)
+    assert [licenses.freedom(x) for x in ("mitre-x", "zlibx", "cc-by-nd-4.0", "cc-by-nc-nd", "apache-2.0", "gplv3", "gpl-2.0+", "cc0-1.0", "bsd-3-clause")] == [
+        0.1, 0.1, 0.4, 0.2, 0.95, 0.3, 0.3, 1.0, 1.0]
+    for behind in ("", ", see LICENSE", " -->", " */", "</p>", "; x", ".", '"'):
+        assert licenses.scan(f"SPDX-License-Identifier: MIT{behind}", {}, {})["score"] == 1.0, behind
+    for fault in (" see LICENSE", " (", ") x", " and"):
+        assert licenses.scan(f"SPDX-License-Identifier: MIT{fault}", {}, {})["score"] == 0.0, fault
