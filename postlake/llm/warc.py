@@ -2,8 +2,9 @@
 
 Writing: equal payloads of at least ``least_bytes`` keep one response, that of the largest page id;
 the others become revisit records without payload that name it. Only page id, digest and length of a
-page take part in that grouping; the payload is shuffled once, by page id. The text writer puts the
-record terminator after each record, so a part file is an uncompressed WARC file.
+page take part in that grouping. Digests that occur twice mark slots of a filter of fixed size; a page whose slot
+is not marked is written where it was read, and only the others shuffle their payload, once, by page id.
+The text writer puts the record terminator after each record, so a part file is an uncompressed WARC file.
 
 Reading: archives are read in splits and cut at the magic line. A cut is only a candidate, for a
 payload may hold the magic itself. Each task parses its candidates and emits the record length, that
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.llm.stage import written
@@ -34,6 +35,8 @@ MAGIC = b"WARC/1.1\r\n"
 TERMINATOR = "\r\n\r\n"
 RECORDS_PER_FILE = 100_000
 LEAST_REVISIT_BYTES = 1000
+#: Slots of the filter of digests that occur twice.
+SLOTS = 1 << 20
 RECORD_DATE = "2000-01-01T00:00:00Z"
 ID_START = "urn:postlake:page:"
 
@@ -51,6 +54,19 @@ def decide_revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     return meta.join(keepers, "digest").filter(F.col("page_id") < F.col("refers_to")).distinct()
 
 
+def shares_slot(digests: DataFrame) -> Column:
+    """Whether a row's ``digest`` may be one that occurs twice in digests: one byte per slot, a fixed number of slots."""
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+    twice = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select((slot + 1).alias("slot"))
+    bitmaps = twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    marked = np.zeros(SLOTS, np.uint8)
+    for row in bitmaps.collect():  # at most SLOTS / 8 bytes, whatever the table
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        first = (row["bucket"] - 1) * len(bits)
+        marked[first : first + len(bits)] |= bits[: SLOTS - first]
+    return F.substring(F.lit(bytearray(marked.tobytes())), (slot + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+
 def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT_BYTES) -> None:
     """One WARC record per page, below path."""
     body = pages.select(
@@ -58,8 +74,11 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT_BYT
         F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", ""), "WARC/1[.]1$", "WARC%2F1.1").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
     ).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
+    shared = (F.col("bytes") >= least_bytes) & shares_slot(body.filter(F.col("bytes") >= least_bytes).select("digest"))
     revisits = decide_revisits(body, least_bytes)
-    records = body.join(revisits, ["page_id", "digest"], "left")
+    alone = body.filter(~F.coalesce(shared, F.lit(False))).withColumn("refers_to", F.lit(None).cast("long"))
+    # A merge join at every size, so that the plan does not change as tables grow.
+    records = alone.unionByName(body.filter(shared).join(revisits.hint("merge"), ["page_id", "digest"], "left"))
     again = F.col("refers_to").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"),

@@ -77,3 +77,13 @@ def test_pointer_doubling_follows_only_the_first_chain():
             reached.add(int(at))
             at = int(nexts[np.searchsorted(starts, at)])
         assert set(starts[warc.jump_pointers(starts, nexts)].tolist()) == reached
+
+
+def test_slots_hold_every_digest_that_occurs_twice(spark, monkeypatch):
+    rows = [(f"d{k % 50 if k < 100 else k}",) for k in range(400)]
+    digests = spark.createDataFrame(rows, "digest string")
+    marked = digests.distinct().withColumn("m", warc.shares_slot(digests)).collect()
+    twice = {f"d{k}" for k in range(50)}
+    assert {r.digest for r in marked if r.m} >= twice and sum(r.m for r in marked) < 55  # a chance match at most
+    monkeypatch.setattr(warc, "SLOTS", 8)  # a full filter lets all through and loses none
+    assert {r.digest for r in digests.distinct().filter(warc.shares_slot(digests)).collect()} >= twice
