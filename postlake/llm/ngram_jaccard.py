@@ -18,15 +18,19 @@ reach the similarity t only if they differ in at most (1 - t) / (1 + t) * (a + b
 4. Verification: pairs must pass a finer sketch (one bit per shingle, its Hamming distance again at
    most the symmetric difference); then the sets themselves are compared.
 5. Groups: of the hot word values, every fourth draws one of its classes as pivot, another one for
-   each value, and pairs all its classes with it: fewer pairs than entries, however large the group. After that,
-   classes of one hot value that still lie in different components are compared in cells of bounded
-   size by their fine sketches, and what passes is verified. So no link between components is lost
-   and none inside a component needs to be found twice.
+   each value, and pairs all its classes with it; then, components known, each value that still spans
+   several takes as pivot its class with most hot values (the text that copies were made from keeps more
+   of them than a copy does). Both times there are fewer pairs than entries, however large the group.
+   Classes that still lie in different components and are joined by a chain of hot values form a group; it is cut
+   into cells of bounded size, each pair of classes meets in one cell, where fine sketches and then the
+   sets themselves are compared, and a cell gives a spanning forest of the links it finds, fewer rows
+   than it has classes. So no link between components is lost and none inside one is found twice.
 
 Null and empty texts, and texts of blanks: an empty set, linked with nothing, their own component.
-Texts of one to four words have one shingle, the whole sequence. Rows with a null id are kept with a
-null component unless they share a class. Repeated rows fall into one class. Columns besides the
-named ones are ignored.
+Texts of one to four words have one shingle, the whole sequence. Rows with a null id are documents like
+others, but no component is named after them: alone, or linked with null ids only, they get null.
+Repeated rows fall into one class; rows of one id with different texts are told apart by their texts,
+and each row has the component of its own text. Columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -52,8 +56,8 @@ HOT = 16
 DRAWN = 4
 #: Sketch words that one task of the join gets, about.
 TASK_WORDS = 1_000_000
-#: Classes on a side of a cell when hot values are compared.
-CELL = 1024
+#: Classes on a side of a cell when groups are compared.
+CELL = 512
 
 _ORDINAL = np.uint64((1 << 20) - 1)
 _U = np.uint64
@@ -151,8 +155,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names.append(identity(ids) if len(ids) else None)
             sketches.append(fine_sketch(ids) if len(ids) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())],
-            ["doc_id", "n", "class", "sketch"])
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())],
+            ["doc_id", "key", "n", "class", "sketch"])
 
 
 #: Sketch words that are packed at once.
@@ -270,9 +274,19 @@ def _near_enough(percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each class from a text with its key; a text of another class is left out."""
     for batch in batches:
+        found = [(name, ids) for name, ids in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))) if len(ids) and identity(ids) == name]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([ids.tobytes() for ids in shingle_sets(batch.column(1))], pa.binary())], ["class", "ids"])
+            [pa.array([name for name, _ in found], pa.int64()), pa.array([ids.tobytes() for _, ids in found], pa.binary())], ["class", "ids"])
+
+
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    small, large = (s, t) if len(s) <= len(t) else (t, s)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(s) + len(t) - common)
 
 
 def _linked(percent: int):
@@ -280,35 +294,34 @@ def _linked(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+                keep.append(linked(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _cells(percent: int):
-    """Pairs of one cell that lie in different components and pass the fine sketch."""
+    """A spanning forest of the links between different components among the classes of one cell."""
 
     def run(table: pa.Table) -> pa.Table:
         side, name, comp, size = (table[c].to_numpy() for c in ("side", "a", "component", "n"))
         raw = [np.frombuffer(s.as_py(), np.uint8) for s in table["sketch"]]
+        sets = [np.frombuffer(s.as_py(), _U) for s in table["ids"]]
         width = min(map(len, raw))
         bits = np.stack([fold_to(s, width) for s in raw]).view(_U if width % 8 == 0 else np.uint8)
+        _, tree = np.unique(comp, return_inverse=True)  # components, joined as links are found
         rows = np.flatnonzero(side == 0)
         cols = np.flatnonzero(side == 1) if (side == 1).any() else rows
         left, right = [], []
         for r in rows:
-            near = cols[(comp[cols] != comp[r]) & ((cols > r) if cols is rows else True)]
-            if not len(near):
-                continue
+            near = cols[tree[cols] != tree[r]]
             differs = np.bitwise_count(bits[near] ^ bits[r]).sum(axis=1)
             near = near[differs * (100 + percent) <= (size[near] + size[r]) * (100 - percent)]
-            left.extend([name[r]] * len(near))
-            right.extend(name[near])
+            for c in near:
+                if tree[c] != tree[r] and linked(sets[r], sets[c], percent):
+                    left.append(name[r])
+                    right.append(name[c])
+                    tree[tree == tree[c]] = tree[r]
         a, b = np.array(left, np.int64), np.array(right, np.int64)
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
@@ -320,11 +333,11 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, percent: int = PERCENT) -> None:
         self.spark, self.percent = docs.sparkSession, percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.signed = written(self.docs.mapInArrow(_signatures, "doc_id long, n long, class long, sketch binary"), "jaccard-signatures")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+        self.signed = written(self.docs.mapInArrow(_signatures, "doc_id long, key long, n long, class long, sketch binary"), "jaccard-signatures")
         self.classes = written(
             self.signed.filter("n > 0").groupBy("class").agg(
-                F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
+                F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
         self.links = self._all_links()
 
     def _all_links(self) -> DataFrame:
@@ -341,13 +354,29 @@ class JaccardJoin:
         self.placed = connected_components(links, "a", "b")
         if hot.isEmpty():
             return links
-        rest = written(self._verified(self._between_components(hot)), "jaccard-links")
-        if rest.isEmpty():
-            return links
-        links = links.unionByName(rest)
-        self.placed = connected_components(links, "a", "b")
+        for find in (self._with_best_pivots, self._in_groups):
+            mixed = written(self._mixed(hot), "jaccard-mixed")
+            if mixed.isEmpty():
+                break
+            links = links.unionByName(written(find(mixed), "jaccard-links"))
+            self.placed = connected_components(links, "a", "b")
         return links
 
+    def _mixed(self, hot: DataFrame) -> DataFrame:
+        """(word, a, component) of the hot words whose classes lie in several components."""
+        comps = self.placed.select(F.col("node").alias("a"), "component")
+        placed = hot.join(comps, "a", "left").withColumn("component", F.coalesce("component", "a"))
+        spans = placed.groupBy("word").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+        return placed.join(spans.select("word"), "word")
+
+    def _with_best_pivots(self, mixed: DataFrame) -> DataFrame:
+        """Links of classes with the class of their word that holds most hot words."""
+        held = mixed.groupBy("a").agg(F.count("*").alias("words"))
+        pivots = mixed.join(held, "a").groupBy("word").agg(F.max(F.struct("words", "a", "component")).alias("p"))
+        pairs = mixed.join(pivots, "word").filter(F.col("component") != F.col("p.component")).select(
+            F.least("a", "p.a").alias("a"), F.greatest("a", "p.a").alias("b"))
+        return self._verified(pairs.distinct())
+
     def _candidates(self) -> DataFrame:
         total = self.signed.agg(F.sum("n")).first()[0] or 0
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
@@ -365,25 +394,31 @@ class JaccardJoin:
             (100 * F.col("n_a") >= self.percent * F.col("n_b")) & (100 * F.col("n_b") >= self.percent * F.col("n_a"))
         ).select("a", "b", "n_a", "s_a", "n_b", "s_b")
         near = written(possible.mapInArrow(_near_enough(self.percent), "a long, b long"), "jaccard-near")
-        needed = near.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(self.classes.select("class", "least"), "class").filter("least is not null")
-        texts = self.docs.join(needed.select(F.col("least").alias("doc_id"), "class"), "doc_id").dropDuplicates(["class"])
-        sets = written(texts.select("class", "text").mapInArrow(_sets, "class long, ids binary"), "jaccard-sets")
+        sets = written(self._sets_of(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "jaccard-sets")
         for side in "ab":
             near = near.join(sets.select(F.col("class").alias(side), F.col("ids").alias(f"ids_{side}")), side)
         return near.select("a", "b", "ids_a", "ids_b").mapInArrow(_linked(self.percent), "a long, b long")
 
-    def _between_components(self, hot: DataFrame) -> DataFrame:
-        """Pairs of classes with an equal hot word that lie in different components and may be linked."""
-        comps = self.placed.select(F.col("node").alias("a"), "component")
-        placed = hot.join(comps, "a", "left").withColumn("component", F.coalesce("component", "a"))
-        mixed = placed.groupBy("word").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        rows = placed.join(mixed.select("word", "size"), "word").join(self.classes.select(F.col("class").alias("a"), "n", "sketch"), "a")
-        cells = F.ceil(F.col("size") / CELL).cast("int")
-        mine = rows.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"))
-        dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-            "word", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"),
-            F.when(F.col("cell") <= F.col("other"), 0).otherwise(1).alias("side"), "a", "component", "n", "sketch")
-        return dealt.groupBy("word", "i", "j").applyInArrow(_cells(self.percent), "a long, b long").distinct()
+    def _sets_of(self, needed: DataFrame) -> DataFrame:
+        """(class, ids) of the classes, from the text of each that was signed."""
+        keys = needed.join(self.classes.select("class", "key"), "class")
+        texts = self.docs.select("key", "text").join(keys, "key").dropDuplicates(["class"])
+        return texts.select("class", "text").mapInArrow(_sets, "class long, ids binary")
+
+    def _in_groups(self, mixed: DataFrame) -> DataFrame:
+        """Links between components among classes that hot words join, each pair of classes met once."""
+        first = mixed.groupBy("word").agg(F.min("a").alias("b"))
+        groups = connected_components(mixed.select("word", "a").join(first, "word").select("a", "b"), "a", "b")
+        rows = mixed.groupBy("a").agg(F.max("component").alias("component")).join(
+            groups.select(F.col("node").alias("a"), F.col("component").alias("group")), "a")
+        sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+        sets = written(self._sets_of(mixed.select(F.col("a").alias("class")).distinct()), "jaccard-sets")
+        whole = rows.join(sizes, "group").withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"))
+        whole = whole.join(self.classes.select(F.col("class").alias("a"), "n", "sketch"), "a").join(sets.withColumnRenamed("class", "a"), "a")
+        dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
+            "group", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"),
+            F.when(F.col("cell") <= F.col("other"), 0).otherwise(1).alias("side"), "a", "component", "n", "sketch", "ids")
+        return dealt.groupBy("group", "i", "j").applyInArrow(_cells(self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
         """(class, component_id): the least document of all that a class reaches."""

@@ -131,6 +131,46 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(got, key=str) == sorted([(7, 1, 7), (7, 1, 7), (None, 1, 7), (3, 0, 3)], key=str)
 
 
+def test_rows_are_told_apart_by_their_texts(spark):
+    base = "this is one rather long line of words that two or three documents have in common with each other".split()
+    near, other = [*base[:-1], "else"], [f"w{k}" for k in range(30)]
+    rows = [(5, base), (None, near), (9, other), (9, near), (None, ["z"] * 9), (None, [*other, "more"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(5, 15, 5), (None, 15, 5), (9, 26, 9), (9, 15, 5), (None, 1, None), (None, 27, 9)], key=str)
+
+
+@pytest.mark.parametrize("cell", [512, 7])
+def test_large_groups_that_are_only_partly_linked(spark, monkeypatch, cell):
+    """Stars without their centre, chains, and a group whose members are all near each other."""
+    monkeypatch.setattr(ngram_jaccard, "CELL", cell)
+    draw = random.Random(21)
+    fresh = lambda n: [f"v{draw.randrange(5000)}" for _ in range(n)]
+    out, star, chain, close = [], fresh(120), fresh(120), fresh(90)
+    out += [" ".join(varied(draw, star, 3)) for _ in range(90)]
+    out += [" ".join(varied(draw, star, 1)) for _ in range(5)]
+    for _ in range(90):
+        out.append(" ".join(chain))
+        chain = varied(draw, chain, 1)
+    out += [" ".join(varied(draw, close, 1)) for _ in range(60)]
+    draw.shuffle(out)
+    sets = [plain_set(t) for t in out]
+    assert [r.component_id for r in ngram_jaccard.near_duplicates(documents(spark, out)).orderBy("doc_id").collect()] == plain_components(sets)
+
+
+def test_a_cell_gives_a_spanning_forest():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(1)
+    base = np.unique(draw.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.sort(draw.permutation(base)[:380]) for _ in range(30)] + [np.unique(draw.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(5)]
+    table = pa.table({
+        "side": pa.array(np.zeros(35, np.int32)), "a": pa.array(range(35)), "component": pa.array(range(35)), "n": pa.array([len(s) for s in sets]),
+        "sketch": pa.array([ngram_jaccard.fine_sketch(s) for s in sets]), "ids": pa.array([s.tobytes() for s in sets])})
+    found = ngram_jaccard._cells(75)(table)
+    assert found.num_rows == 29 and set(found["a"].to_pylist()) | set(found["b"].to_pylist()) == set(range(30))
+
+
 def test_scores_equal_a_direct_model(spark, texts):
     texts = texts[:260]
     words = [plain_words(t) for t in texts]
