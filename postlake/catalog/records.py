@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postlake.catalog.base import query
@@ -9,6 +11,8 @@ from postlake.functions.similarity import jaro_winkler
 from postlake.functions.text import normalize_for_matching
 from postlake.operators import components, fuzzy, openings, policy, records, templates, vacancies
 from postlake.plans import gold
+from postlake.session import checkpoint_dir
+from postlake.sources import index_files, lake
 from postlake.streaming.jobs import opening_sessions
 
 # Events as sightings: an error event carries no values, so column-wise and row-wise differ.
@@ -398,3 +402,34 @@ def _(t):
     index = t.view(INDEX).withColumns({c: F.lit(None).cast("string") for c in ("content_digest", "warc_filename")} | {
         "fetch_time": F.lit(None).cast("timestamp"), "warc_record_length": F.lit(0)})
     return policy.job_candidates(policy.index_range(index, start="1", end="8")).select("url", "domain")
+
+
+# Pages as rows of a sorted URL index: host names turned round, a file per top-level domain and length of the host.
+INDEX_FILES = """
+select page_id, url, {key} as url_surtkey, {folder} as folder
+from (select page_id, url, regexp_extract(url, '://([^/?#]+)', 1) as h, regexp_extract(url, '://[^/?#]+(.*)$', 1) as p from pages)
+"""
+_HERE = {"key": "concat(array_join(reverse(split(h, '[.]')), ','), ')', p)", "folder": "concat(element_at(split(h, '[.]'), -1), '-', length(h))"}
+_THERE = {"key": "concat(array_to_string(list_reverse(string_split(h, '.')), ','), ')', p)", "folder": "concat(string_split(h, '.')[-1], '-', length(h))"}
+
+
+@query("index_files_read", f"""
+    with i as ({INDEX_FILES.format(**_THERE)}), files as (
+        select folder, count(*) as rows, min(url_surtkey) as least_key, max(url_surtkey) as greatest_key,
+               count(*) filter (where url_surtkey >= 'org,' and url_surtkey < 'org-') as rows_in_range
+        from i group by folder)
+    select folder, rows, least_key, greatest_key, greatest_key >= 'org,' and least_key < 'org-' as read, rows_in_range from files""")
+def _(t):
+    """Files of an index by their footers, which of them a scan of one top-level domain reads, and what it finds there."""
+    index = f"{checkpoint_dir(t.spark).rstrip('/')}/url-index-{uuid.uuid4().hex}"
+    rows = t.spark.sql(INDEX_FILES.format(**_HERE).replace("from pages", "from {pages}"), pages=t.pages)
+    lake.write_parquet(rows.repartition("folder"), index, partition_by=["folder"], sort_by=["folder", "url_surtkey"])
+    index_files.refresh_manifest(t.spark, index)
+    found = index_files.read_index_range(t.spark, index, "org,", "org-", schema="page_id bigint, url string, url_surtkey string")
+    folder = F.regexp_extract("path", "folder=([^/]*)/", 1)
+    scanned = t.spark.createDataFrame([(f,) for f in found.inputFiles()], "path string").select(folder.alias("folder"), F.lit(True).alias("read"))
+    held = found.select(F.col("_metadata.file_path").alias("path")).groupBy(folder.alias("folder")).agg(F.count("*").alias("rows_in_range"))
+    files = index_files.manifest(t.spark, index).read("files").withColumn("folder", folder)
+    return files.join(scanned, "folder", "left").join(held, "folder", "left").select(
+        "folder", "rows", "least_key", "greatest_key", F.coalesce("read", F.lit(False)).alias("read"),
+        F.coalesce("rows_in_range", F.lit(0)).cast("bigint").alias("rows_in_range"))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions.urls import publisher_site
 from postlake.session import cut_lineage
+from postlake.sources.files import listed, open_file, spread
 
 GZIP_START = b"\x1f\x8b\x08"
 MAGIC, HEAD_END = b"WARC/", b"\r\n\r\n"
@@ -44,7 +45,6 @@ HEAD_BYTES = 1 << 20
 BATCH_ROWS = 256
 #: An inflated member up to this size is not inflated a second time.
 KEPT_BYTES = 8 << 20
-MOST_TASKS = 20_000
 VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 #: A batch of rows is given out at this many bytes of bodies.
 BATCH_BYTES = 16 << 20
@@ -320,16 +320,6 @@ def _head_holds(file: BinaryIO, at: int) -> bool:
     return data.take(len(HEAD_END) + len(MAGIC)) in (HEAD_END + MAGIC, HEAD_END)
 
 
-def _open(path: str) -> BinaryIO:
-    """A file for reading with seeks: local, or on a file system that Arrow reaches."""
-    if path.startswith(("file:", "/")):
-        return open(re.sub("^file:/+", "/", path), "rb")
-    from pyarrow.fs import FileSystem
-
-    system, name = FileSystem.from_uri(path)
-    return system.open_input_file(name)
-
-
 # --- ranges ---
 
 _RANGE = "path string, start bigint, stop bigint, size bigint, begin bigint, next bigint, state string"
@@ -337,23 +327,18 @@ _RANGE = "path string, start bigint, stop bigint, size bigint, begin bigint, nex
 
 def file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, start, stop, size) of the ranges of all files below path; no file is opened."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
+    files = listed(spark, path).select("path", "size").filter("size > 0")
     step = F.lit(range_bytes)
     cut = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, step.cast("bigint"))).alias("start"))
     return cut.select("path", "start", F.least(F.col("start") + step, F.col("size")).alias("stop"), "size")
 
 
-def _spread(ranges: DataFrame) -> DataFrame:
-    """A task per range: ranges are small rows that stand for much work."""
-    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
-
-
 def _looked_through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Where the range's first record begins (as told, or guessed), and the first one behind the range."""
     for batch in batches:
         rows = []
         for r in batch.itertuples():
-            with _open(r.path) as file:
+            with open_file(r.path) as file:
                 begin = _begin(file, r.start, r.stop) if r.state == "guess" else int(r.begin)
                 after = None
                 if begin is not None:
@@ -389,13 +374,13 @@ def agreed_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """The ranges in which records begin, each with its first record's place."""
     unknown = F.lit(None).cast("bigint")
     ranges = file_ranges(spark, path, range_bytes).select("*", unknown.alias("begin"), unknown.alias("next"), F.lit("guess").alias("state"))
-    seen = cut_lineage(_spread(ranges).mapInPandas(_looked_through, _RANGE))
+    seen = cut_lineage(spread(ranges).mapInPandas(_looked_through, _RANGE))
     while True:
         walked = cut_lineage(seen.groupBy("path").applyInPandas(_walked, _RANGE))
         again = walked.filter("state = 'again'")
         if again.isEmpty():
             return walked.filter("state = 'agreed'")
-        seen = walked.filter("state <> 'again'").unionByName(_spread(again).mapInPandas(_looked_through, _RANGE))
+        seen = walked.filter("state <> 'again'").unionByName(spread(again).mapInPandas(_looked_through, _RANGE))
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -425,13 +410,13 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
         def found() -> Iterator[tuple[str, Capture]]:
             for batch in batches:
                 for r in batch.itertuples():
-                    with _open(r.path) as file:
+                    with open_file(r.path) as file:
                         for capture in _range(file, int(r.begin), r.stop, r.size):
                             yield r.path, capture
 
         return _batches(found())
 
-    return _with_types(_spread(agreed_ranges(spark, path, range_bytes)).mapInPandas(read, RECORD))
+    return _with_types(spread(agreed_ranges(spark, path, range_bytes)).mapInPandas(read, RECORD))
 
 
 def split_records(files: DataFrame) -> DataFrame:
