@@ -13,6 +13,7 @@ from postlake.operators import components, fuzzy, openings, policy, records, tem
 from postlake.plans import gold
 from postlake.session import checkpoint_dir
 from postlake.sources import index_files, lake
+from postlake.streaming import sightings
 from postlake.streaming.jobs import opening_sessions
 
 # Events as sightings: an error event carries no values, so column-wise and row-wise differ.
@@ -433,3 +434,16 @@ def _(t):
     return files.join(scanned, "folder", "left").join(held, "folder", "left").select(
         "folder", "rows", "least_key", "greatest_key", F.coalesce("read", F.lit(False)).alias("read"),
         F.coalesce("rows_in_range", F.lit(0)).cast("bigint").alias("rows_in_range"))
+
+
+@query("seen_times_stream", """
+    select user_id, event_type, min(ts) as first_seen_at, max(ts) as last_seen_at, count(*) as sightings from events group by user_id, event_type""")
+def _(t):
+    """Events as a stream of files in no order of time, one file a batch, with one state per key."""
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/seen-times-{uuid.uuid4().hex}"
+    rows = t.events.select("event_id", "user_id", "event_type", "ts")
+    rows.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    keys = ["user_id", "event_type"]
+    sightings.keep_sightings(stream, keys, f"{folder}/seen", f"{folder}/checkpoint", "ts")
+    return sightings.read_sightings(t.spark, keys, f"{folder}/seen")

@@ -384,7 +384,7 @@ def _(t):
     select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[.]', '') as domain,
            sha1(html) as body_sha1 from pages""")
 def _(t):
-    """Pages as archive files of many response records, half of them gzipped, read back by ranges of 64 KB.
+    """Pages as archive files of many response records, half of them gzipped, read back by ranges.
 
     The stated digest holds the page id."""
     message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.col("html"))
@@ -396,5 +396,5 @@ def _(t):
     for k, coding in enumerate(("none", "gzip")):
         t.pages.filter(F.pmod("page_id", F.lit(2)) == k).select(record.alias("value")).write.option(
             "lineSep", "\r\n\r\n").text(f"{path}/{coding}", compression=coding)
-    return warc.read_warc(t.spark, f"{path}/*", 64 << 10).select(
+    return warc.read_warc(t.spark, f"{path}/*").select(
         F.col("content_digest").cast("bigint").alias("page_id"), "url", "domain", F.sha1(F.col("body").cast("binary")).alias("body_sha1"))

@@ -55,6 +55,20 @@ def parse_captures(captures: DataFrame) -> DataFrame:
     return rows.withColumn("observation_type", F.lit("capture")).select(*OBSERVATION_COLUMNS)
 
 
+def observations_and_rejects(captures: DataFrame) -> DataFrame:
+    """Observation rows (kind 'observation') and captures that could not be fetched (kind 'reject') in one pass.
+
+    A reject has the capture's own columns (page_url, bronze_file, captured_at, fetch_result) and no posting.
+    """
+    good = F.coalesce(F.col("fetch_result") == "ok", F.lit(False))
+    items = F.when(good, F.from_json("postings_json", "array<variant>"))
+    rows = captures.select("*", good.alias("good"), F.posexplode_outer(items).alias("position", "item"))
+    rows = rows.filter(~F.col("good") | F.col("item").isNotNull()).withColumn("posting", F.to_json("item")).drop("item", "postings_json")
+    kind = F.when(F.col("good"), "observation").otherwise("reject")
+    parsed = normalize_postings(rows.withColumnRenamed("url", "page_url")).withColumn("observation_type", F.lit("capture"))
+    return parsed.select(kind.alias("kind"), *OBSERVATION_COLUMNS, "fetch_result")
+
+
 def build_silver(
     observations: DataFrame, reobservations: DataFrame | None = None, excluded=EXCLUDED_DOMAINS, usable=None,
 ) -> Silver:

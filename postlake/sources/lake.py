@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake import schemas
@@ -15,16 +15,20 @@ def read_flat(spark: SparkSession, root: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).parquet(root)
 
 
+def capture_origin() -> list[Column]:
+    """``bronze_file`` and ``registry_source_id`` of rows as their files are read, in batches and streams."""
+    imported = F.regexp_extract("_metadata.file_path", r"/imports/([^/]+)/", 1)
+    return [
+        F.col("_metadata.file_name").alias("bronze_file"),
+        F.when(imported == "", ARCHIVE_SOURCE).otherwise(imported).alias("registry_source_id"),
+    ]
+
+
 def read_captures(spark: SparkSession, *roots: str) -> DataFrame:
     """Bronze captures with ``bronze_file`` and ``registry_source_id`` taken from the path:
     files below ``imports/<source>/`` belong to that source, the others to the web archive."""
     reader = spark.read.schema(schemas.CAPTURE).option("recursiveFileLookup", True)
-    imported = F.regexp_extract("_metadata.file_path", r"/imports/([^/]+)/", 1)
-    return reader.parquet(*roots).select(
-        "*",
-        F.col("_metadata.file_name").alias("bronze_file"),
-        F.when(imported == "", ARCHIVE_SOURCE).otherwise(imported).alias("registry_source_id"),
-    )
+    return reader.parquet(*roots).select("*", *capture_origin())
 
 
 def read_reobservations(spark: SparkSession, root: str) -> DataFrame:

@@ -38,7 +38,8 @@ from postlake.sources.files import listed, open_file, spread
 
 GZIP_START = b"\x1f\x8b\x08"
 MAGIC, HEAD_END = b"WARC/", b"\r\n\r\n"
-RANGE_BYTES = 64 << 20
+#: Ranges share the bytes among the cluster's cores, within these bounds, as Spark's own splits do.
+LEAST_RANGE, MOST_RANGE = 256 << 10, 64 << 20
 BLOCK_BYTES = 256 << 10
 #: A head longer than this is damaged.
 HEAD_BYTES = 1 << 20
@@ -325,9 +326,12 @@ def _head_holds(file: BinaryIO, at: int) -> bool:
 _RANGE = "path string, start bigint, stop bigint, size bigint, begin bigint, next bigint, state string"
 
 
-def file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def file_ranges(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """(path, start, stop, size) of the ranges of all files below path; no file is opened."""
     files = listed(spark, path).select("path", "size").filter("size > 0")
+    if range_bytes is None:
+        total = files.agg(F.sum("size")).first()[0] or 0
+        range_bytes = max(LEAST_RANGE, min(MOST_RANGE, total // spark.sparkContext.defaultParallelism))
     step = F.lit(range_bytes)
     cut = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, step.cast("bigint"))).alias("start"))
     return cut.select("path", "start", F.least(F.col("start") + step, F.col("size")).alias("stop"), "size")
@@ -370,7 +374,7 @@ def _walked(ranges: pd.DataFrame) -> pd.DataFrame:
     return out.assign(begin=pd.array(begins, "Int64"), next=out["next"].astype("Int64"), state=states)
 
 
-def agreed_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def agreed_ranges(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """The ranges in which records begin, each with its first record's place."""
     unknown = F.lit(None).cast("bigint")
     ranges = file_ranges(spark, path, range_bytes).select("*", unknown.alias("begin"), unknown.alias("next"), F.lit("guess").alias("state"))
@@ -403,7 +407,7 @@ def _with_types(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"captured_at": F.try_to_timestamp("captured_at"), "domain": publisher_site("url")})
 
 
-def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """The records of all files below path, rejects included with a reason; the whole path names the file."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postlake import schemas
 from postlake.rules import limits
+from postlake.plans.silver import observations_and_rejects
 from postlake.sources.intake import VERSION
+from postlake.sources.lake import capture_origin
 
 
 def version_folder(root: str, version: str = VERSION) -> str:
@@ -26,7 +28,7 @@ def capture_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000
     return (
         spark.readStream.schema(schemas.CAPTURE).option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-        .select("*", F.col("_metadata.file_name").alias("bronze_file"))
+        .select("*", *capture_origin())
     )
 
 
@@ -39,6 +41,26 @@ def run_available(
     return query
 
 
+def append_observations(target: str):
+    """Batch writer: observations and failed captures of a batch in one pass over it, in folders by kind.
+
+    A batch writes to its own folder and overwrites it, so a retried batch is not doubled.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        observations_and_rejects(batch).write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(f"{target}/batch={batch_id}")
+
+    return write
+
+
+def read_observations(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).filter("kind = 'observation'").select(*schemas.OBSERVATION_COLUMNS)
+
+
+def read_rejects(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).filter("kind = 'reject'").select("registry_source_id", "bronze_file", "page_url", "captured_at", "fetch_result")
+
+
 def append_parsed(parse: Callable[[DataFrame], DataFrame], target: str, rejects: str | None = None):
     """Batch writer: parsed rows of each batch appended; failed captures to ``rejects``.
 
