@@ -1,14 +1,17 @@
 """Exact grouped percentiles that never gather a group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, which fails when
-one group holds a large share of the rows. Here a mergeable sketch brackets each quantile,
-everything outside the bracket is reduced to a count with its nearest value, and only the
-few values inside a bracket are ranked exactly.
+one group holds a large share of the rows. Here a mergeable sketch brackets each quantile. The
+ends of all brackets cut a group's values into segments; a row is looked at once, whatever the
+number of quantiles. Segments between brackets are reduced to a count with their least and
+largest value, and only the few values inside brackets are ranked exactly. The sketch's error
+bound keeps every wanted rank inside its bracket; a rank outside is an error, never a NULL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,50 +34,39 @@ def grouped_percentiles(
     base = base.filter(F.col("v").isNotNull())
     ks = [f"k{i}" for i in range(len(keys))]
     edge = MARGIN / accuracy
-    ends = [min(max(p + side * edge, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    sketch = base.groupBy(*ks).agg(
-        F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("ends")
-    )
+    brackets = [(max(p - edge, 0.0), min(p + edge, 1.0)) for p in probs]
+    cuts = sorted({e for bracket in brackets for e in bracket})
+    sketch = base.groupBy(*ks).agg(F.count("*").alias("n"), F.percentile_approx("v", cuts, accuracy).alias("ends"))
     placed = _attach(base, sketch, ks)
-    steps = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.get("ends", 2 * i).alias("lo"), F.get("ends", 2 * i + 1).alias("hi"))
-            for i in range(len(probs))
-        ]
-    )
-    sides = placed.select(*ks, "n", "v", F.explode(steps).alias("s")).select(
-        *ks, "n", "v", "s.i",
-        F.when(F.col("v") < F.col("s.lo"), -1).when(F.col("v") > F.col("s.hi"), 1).otherwise(0).alias("side"),
-    )
-    inside = F.when(F.col("side") == 0, F.col("v"))
-    counts = sides.groupBy(*ks, "i", "side", inside.alias("x")).agg(
-        F.first("n").alias("n"), F.count("*").alias("c"), F.max("v").alias("top"), F.min("v").alias("low")
+    # Segment j holds the values behind end j - 1 up to end j, that end included.
+    segment = reduce(lambda a, b: a + b, [(F.col("v") > F.get("ends", F.lit(j))).cast("int") for j in range(len(cuts))])
+    inside = [j for j in range(1, len(cuts)) if any(low <= cuts[j - 1] and cuts[j] <= high for low, high in brackets)]
+    ranked_value = F.col("seg").isin(inside) | (F.col("v") == F.get("ends", F.col("seg")))
+    counts = placed.withColumn("seg", segment).groupBy(*ks, "seg", F.when(ranked_value, F.col("v")).alias("x")).agg(
+        F.first("n").alias("n"), F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("top")
     )
-    order = Window.partitionBy(*ks, "i").orderBy("side", "x").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*ks).orderBy("seg", F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("c").over(order))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
-    rank = prob * (F.col("n") - 1)
-    lower = F.floor(rank + F.lit(1e-9))
+    first, last = F.col("upto") - F.col("c"), F.col("upto") - 1
 
     def value_at(r: Column) -> Column:
-        covers = (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))
-        known = (
-            F.when(F.col("side") == 0, F.col("x"))
-            .when((F.col("side") < 0) & (r == F.col("upto") - 1), F.col("top"))
-            .when((F.col("side") > 0) & (r == F.col("upto") - F.col("c")), F.col("low"))
-        )
-        return F.max(F.when(covers, known))
+        known = F.when((F.col("low") == F.col("top")) | (r == first), F.col("low")).when(r == last, F.col("top"))
+        missed = F.raise_error(F.lit("a rank lies outside its bracket: ask for a higher accuracy")).cast("double")
+        return F.max(F.when((r >= first) & (r <= last), F.coalesce(known, missed)))
 
-    found = ranked.withColumns({"rank": rank, "r0": lower}).groupBy(*ks, "i").agg(
-        value_at(F.col("r0")).alias("a"),
-        value_at(F.least(F.col("r0") + 1, F.col("n") - 1)).alias("b"),
-        F.first(F.greatest(F.col("rank") - F.col("r0"), F.lit(0.0))).alias("part"),
-    )
-    q = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
-    wide = found.groupBy(*ks).agg(
-        *[F.max(F.when(F.col("i") == i, q)).alias(name) for i, name in enumerate(names)]
+    parts = {}
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (F.col("n") - 1)
+        lower = F.floor(rank + F.lit(1e-9))
+        parts |= {
+            f"a{i}": value_at(lower), f"b{i}": value_at(F.least(lower + 1, F.col("n") - 1)),
+            f"part{i}": F.first(F.greatest(rank - lower, F.lit(0.0))),
+        }
+    found = ranked.groupBy(*ks).agg(*[c.alias(name) for name, c in parts.items()])
+    return found.select(
+        *[F.col(k).alias(orig) for k, orig in zip(ks, keys)],
+        *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"part{i}")).alias(name) for i, name in enumerate(names)],
     )
-    return wide.select(*[F.col(k).alias(orig) for k, orig in zip(ks, keys)], *names)
 
 
 def _attach(base: DataFrame, sketch: DataFrame, ks: list[str]) -> DataFrame:
