@@ -18,13 +18,12 @@ reach the similarity t only if they differ in at most (1 - t) / (1 + t) * (a + b
 4. Verification: pairs must pass a finer sketch (one bit per shingle, its Hamming distance again at
    most the symmetric difference); then the sets themselves are compared.
 5. Groups: of the hot word values, every fourth draws one of its classes as pivot, another one for
-   each value, and pairs all its classes with it; then, components known, each value that still spans
-   several takes as pivot its class with most hot values (the text that copies were made from keeps more
-   of them than a copy does). Both times there are fewer pairs than entries, however large the group.
-   Classes that still lie in different components and are joined by a chain of hot values form a group; it is cut
-   into cells of bounded size, each pair of classes meets in one cell, where fine sketches and then the
-   sets themselves are compared, and a cell gives a spanning forest of the links it finds, fewer rows
-   than it has classes. So no link between components is lost and none inside one is found twice.
+   each value, and pairs all its classes with it: fewer pairs than entries, however large the group.
+   Classes that then still lie in different components and are joined by a chain of hot values form a
+   group; it is cut into cells of bounded size, each pair of classes meets in one cell, where fine
+   sketches and then the sets themselves are compared, and a cell gives a spanning forest of the links
+   it finds, fewer rows than it has classes. So no link between components is lost and none inside one
+   is found twice. Those links join whole components, so only components are labelled again.
 
 Null and empty texts, and texts of blanks: an empty set, linked with nothing, their own component.
 Texts of one to four words have one shingle, the whole sequence. Rows with a null id are documents like
@@ -56,8 +55,8 @@ HOT = 16
 DRAWN = 4
 #: Sketch words that one task of the join gets, about.
 TASK_WORDS = 1_000_000
-#: Classes on a side of a cell when groups are compared.
-CELL = 512
+#: Bytes of sets, and classes, on a side of a cell when groups are compared.
+CELL_BYTES, CELL = 16 << 20, 8192
 
 _ORDINAL = np.uint64((1 << 20) - 1)
 _U = np.uint64
@@ -312,18 +311,18 @@ def _cells(percent: int):
         _, tree = np.unique(comp, return_inverse=True)  # components, joined as links are found
         rows = np.flatnonzero(side == 0)
         cols = np.flatnonzero(side == 1) if (side == 1).any() else rows
-        left, right = [], []
+        left, right = [], []  # places of the linked classes
         for r in rows:
             near = cols[tree[cols] != tree[r]]
             differs = np.bitwise_count(bits[near] ^ bits[r]).sum(axis=1)
             near = near[differs * (100 + percent) <= (size[near] + size[r]) * (100 - percent)]
             for c in near:
                 if tree[c] != tree[r] and linked(sets[r], sets[c], percent):
-                    left.append(name[r])
-                    right.append(name[c])
+                    left.append(r)
+                    right.append(c)
                     tree[tree == tree[c]] = tree[r]
         a, b = np.array(left, np.int64), np.array(right, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        return pa.table({"a": name[a], "b": name[b], "component_a": comp[a], "component_b": comp[b]})
 
     return run
 
@@ -351,16 +350,15 @@ class JaccardJoin:
         drawn = drawing.join(pivots, "word").filter(F.col("a") != F.col("pivot")).select(
             F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
         links = written(self._verified(pairs.unionByName(drawn).distinct()), "jaccard-links")
-        self.placed = connected_components(links, "a", "b")
+        self.placed, self.merged = connected_components(links, "a", "b"), None
         if hot.isEmpty():
             return links
-        for find in (self._with_best_pivots, self._in_groups):
-            mixed = written(self._mixed(hot), "jaccard-mixed")
-            if mixed.isEmpty():
-                break
-            links = links.unionByName(written(find(mixed), "jaccard-links"))
-            self.placed = connected_components(links, "a", "b")
-        return links
+        mixed = written(self._mixed(hot), "jaccard-mixed")
+        if mixed.isEmpty():
+            return links
+        rest = written(self._in_groups(mixed), "jaccard-links")
+        self.merged = connected_components(rest, "component_a", "component_b")
+        return links.unionByName(rest.select("a", "b"))
 
     def _mixed(self, hot: DataFrame) -> DataFrame:
         """(word, a, component) of the hot words whose classes lie in several components."""
@@ -369,14 +367,6 @@ class JaccardJoin:
         spans = placed.groupBy("word").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
         return placed.join(spans.select("word"), "word")
 
-    def _with_best_pivots(self, mixed: DataFrame) -> DataFrame:
-        """Links of classes with the class of their word that holds most hot words."""
-        held = mixed.groupBy("a").agg(F.count("*").alias("words"))
-        pivots = mixed.join(held, "a").groupBy("word").agg(F.max(F.struct("words", "a", "component")).alias("p"))
-        pairs = mixed.join(pivots, "word").filter(F.col("component") != F.col("p.component")).select(
-            F.least("a", "p.a").alias("a"), F.greatest("a", "p.a").alias("b"))
-        return self._verified(pairs.distinct())
-
     def _candidates(self) -> DataFrame:
         total = self.signed.agg(F.sum("n")).first()[0] or 0
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
@@ -411,18 +401,23 @@ class JaccardJoin:
         groups = connected_components(mixed.select("word", "a").join(first, "word").select("a", "b"), "a", "b")
         rows = mixed.groupBy("a").agg(F.max("component").alias("component")).join(
             groups.select(F.col("node").alias("a"), F.col("component").alias("group")), "a")
-        sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+        rows = rows.join(self.classes.select(F.col("class").alias("a"), "n", "sketch"), "a")
+        cells = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(8 * F.sum("n") / CELL_BYTES)).cast("int")
+        sizes = rows.groupBy("group").agg(cells.alias("cells"))
         sets = written(self._sets_of(mixed.select(F.col("a").alias("class")).distinct()), "jaccard-sets")
         whole = rows.join(sizes, "group").withColumn("cell", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"))
-        whole = whole.join(self.classes.select(F.col("class").alias("a"), "n", "sketch"), "a").join(sets.withColumnRenamed("class", "a"), "a")
+        whole = whole.join(sets.withColumnRenamed("class", "a"), "a")
         dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
             "group", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"),
             F.when(F.col("cell") <= F.col("other"), 0).otherwise(1).alias("side"), "a", "component", "n", "sketch", "ids")
-        return dealt.groupBy("group", "i", "j").applyInArrow(_cells(self.percent), "a long, b long")
+        return dealt.groupBy("group", "i", "j").applyInArrow(_cells(self.percent), "a long, b long, component_a long, component_b long")
 
     def components(self) -> DataFrame:
         """(class, component_id): the least document of all that a class reaches."""
         placed = self.classes.select("class", "least").join(self.placed.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        if self.merged is not None:
+            placed = placed.join(self.merged.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn(
+                "component", F.coalesce("joined", "component"))
         least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
         return placed.join(least, "component").select("class", "component_id")
 
