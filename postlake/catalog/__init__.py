@@ -1,6 +1,6 @@
 """Registered queries: each runs one operator over whole driver tables, with its SQL twin."""
 
-from postlake.catalog import base, jobs, records, tables, texts  # noqa: F401
+from postlake.catalog import base, jobs, records, stored, tables, texts  # noqa: F401
 
 QUERIES = base.QUERIES
 SQL = base.SQL

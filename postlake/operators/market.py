@@ -16,21 +16,30 @@ def overview(
     jobs: DataFrame, records: DataFrame, filters: JobFilters | None = None, as_of=None,
     window_days: int = limits.LIFECYCLE_DAYS,
 ) -> DataFrame:
-    """One row of counts over the filtered jobs; ``records`` (job_id) counts backing records."""
+    """One row of counts over the filtered jobs; ``records`` (job_id) counts backing records.
+
+    Jobs are first reduced to the combinations of the counted columns (map-side, as every aggregate); only
+    those are expanded once per distinct count, not the jobs.
+    """
     jobs = apply_filters(jobs, filters, as_of, window_days)
     backed = records.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
-    out = jobs.agg(
+    counted = {
+        "companies": F.lower("company_name"), "cities": F.col("city"), "provinces": F.col("province"),
+        "sources_with_jobs": F.col("primary_source_id"), "publisher_sites": publisher_site("source_url"),
+    }
+    combinations = jobs.groupBy(*[c.alias(n) for n, c in counted.items()]).agg(
         F.count("*").alias("total_jobs"),
-        F.count_distinct(F.lower("company_name")).alias("companies"),
-        F.count_distinct("city").alias("cities"),
-        F.count_distinct("province").alias("provinces"),
-        F.count_distinct("primary_source_id").alias("sources_with_jobs"),
-        F.count_distinct(publisher_site("source_url")).alias("publisher_sites"),
         F.count_if(F.col("salary_status") == "DISCLOSED").alias("salary_disclosed"),
         F.count_if(F.col("work_arrangement").isin("REMOTE", "HYBRID")).alias("remote_or_hybrid"),
         F.min("last_seen_at").alias("observed_from"),
         F.max("last_seen_at").alias("observed_to"),
     )
+    out = combinations.agg(
+        F.coalesce(F.sum("total_jobs"), F.lit(0)).alias("total_jobs"),
+        *[F.count_distinct(n).alias(n) for n in counted],
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("salary_disclosed", "remote_or_hybrid")],
+        F.min("observed_from").alias("observed_from"), F.max("observed_to").alias("observed_to"),
+    )
     return out.withColumn("total_source_records", backed.agg(F.count("*")).scalar())
 
 

@@ -145,4 +145,4 @@ def write_gold(v: DataFrame, root: str) -> None:
     from postlake.sources.lake import write_parquet
 
     for name, build in TABLES.items():
-        write_parquet(build(v).coalesce(1), f"{root}/{name}.parquet")
+        write_parquet(build(v), f"{root}/{name}.parquet")
