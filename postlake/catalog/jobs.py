@@ -200,6 +200,12 @@ def _(t):
     return salary_stats.dense_histogram(t.view(JOBS))
 
 
+def _top_sql(column, limit=20):
+    """The comparison cut at a limit, with the number of groups and what the others hold."""
+    return f"""with g as ({_compare_sql(column, limit="")}), top as (select * from g order by n desc, key asc nulls last limit {limit})
+        select *, (select count(*) from g) as distinct_values, cast((select sum(n) from g) - (select sum(n) from top) as bigint) as other_count from top"""
+
+
 def _compare_sql(column, source="jobs", ok=COMPARABLE, limit="limit 20"):
     qs = ", ".join(
         f"case when count(*) filter (where {ok}) >= 5 then round(quantile_cont({MIDPOINT}, {p}) filter (where {ok}), 2) end as {n}"
@@ -208,12 +214,12 @@ def _compare_sql(column, source="jobs", ok=COMPARABLE, limit="limit 20"):
         count(*) filter (where {ok}) < 20 as small_sample from {source} group by 1 order by 2 desc, 1 asc nulls last {limit}"""
 
 
-@query("salary_compare_by_city", _compare_sql("city"), jobs=JOBS)
+@query("salary_compare_by_city", _top_sql("city"), jobs=JOBS)
 def _(t):
     return rounded(salary_stats.salary_compare(t.view(JOBS), "city"), "p25", "median", "p75", digits=2).drop("label")
 
 
-@query("salary_compare_by_role_family", _compare_sql("role_family"), jobs=JOBS)
+@query("salary_compare_by_role_family", _top_sql("role_family"), jobs=JOBS)
 def _(t):
     return rounded(salary_stats.salary_compare(t.view(JOBS), "role_family"), "p25", "median", "p75", digits=2).drop("label")
 
@@ -229,8 +235,9 @@ def _(t):
 
 
 @query("top_tags", """
-    select tag, count(*) as count from (select unnest(source_tags) as tag from jobs where role_family = 'FURNITURE')
-    group by 1 order by 2 desc, 1 limit 20""", jobs=JOBS)
+    with g as (select tag, count(*) as count from (select unnest(source_tags) as tag from jobs where role_family = 'FURNITURE') group by 1),
+         top as (select * from g order by count desc, tag limit 20)
+    select *, (select count(*) from g) as distinct_values, cast((select sum(count) from g) - (select sum(count) from top) as bigint) as other_count from top""", jobs=JOBS)
 def _(t):
     return tags.top_tags(t.view(JOBS), JobFilters(role_family=("FURNITURE",), **FREE))
 

@@ -30,6 +30,18 @@ def label_of(key: Column, labels: dict[str, str] | None) -> Column:
     return own if labels is None else F.coalesce(lookup(labels, key), own)
 
 
+def top_with_remainder(counts: DataFrame, count: str, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` groups, each with ``total`` and ``distinct_values`` of the whole set and
+    ``other_count``, what the groups beyond the limit hold."""
+    totals = counts.agg(F.coalesce(F.sum(count), F.lit(0)).alias("total"), F.count("*").alias("distinct_values"))
+    # At most ``limit`` rows remain, so this whole-frame window is bounded.
+    shown = F.sum(count).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    top = counts.orderBy(*order).limit(limit)
+    return top.withColumns(
+        {"total": totals.select("total").scalar(), "distinct_values": totals.select("distinct_values").scalar()}
+    ).withColumn("other_count", F.col("total") - shown)
+
+
 def breakdown(
     jobs: DataFrame, dimension: str, filters: JobFilters | None = None, limit: int = 10,
     as_of=None, window_days: int = limits.LIFECYCLE_DAYS, sources: DataFrame | None = None,
@@ -43,14 +55,8 @@ def breakdown(
     counts = apply_filters(jobs, filters, as_of, window_days).groupBy(F.col(column).alias("key")).agg(
         F.count("*").alias("count")
     )
-    totals = counts.agg(F.sum("count").alias("total"), F.count("*").alias("distinct_values"))
-    top = counts.orderBy(F.desc("count"), F.asc_nulls_last("key")).limit(limit)
-    # At most ``limit`` rows remain, so this whole-frame window is bounded.
-    shown = F.sum("count").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = top.withColumns(
-        {"total": totals.select("total").scalar(), "distinct_values": totals.select("distinct_values").scalar(),
-         "label": label_of(F.col("key"), labels)}
-    ).withColumns({"share": F.col("count") / F.col("total"), "other_count": F.col("total") - shown})
+    top = top_with_remainder(counts, "count", [F.desc("count"), F.asc_nulls_last("key")], limit)
+    out = top.withColumns({"label": label_of(F.col("key"), labels), "share": F.col("count") / F.col("total")})
     if dimension == "source" and sources is not None:
         named = sources.select(F.col("id").alias("source_id"), "name")
         out = out.join(named, F.col("key") == F.col("source_id"), "left").withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.operators.breakdown import DIMENSIONS, label_of
+from postlake.operators.breakdown import DIMENSIONS, label_of, top_with_remainder
 from postlake.operators.filters import JobFilters, apply_filters
 from postlake.operators.pay_rule import comparable_salary, monthly_idr_recorded, monthly_midpoint
 from postlake.operators.percentiles import grouped_percentiles, join_groups
@@ -99,12 +99,11 @@ def salary_compare(
     jobs: DataFrame, by: str = "role_family", filters: JobFilters | None = None, limit: int = 20,
     as_of=None, window_days: int = limits.LIFECYCLE_DAYS,
 ) -> DataFrame:
-    """Quartiles of midpoints per category, the best covered ones first."""
+    """Quartiles of midpoints per category, the best covered ones first, with the number of categories
+    and the comparable salaries in those beyond the limit."""
     if by in ("title", "company"):
         raise ValueError("salary comparison by title or company is not supported: samples are too small")
     column, labels = DIMENSIONS[by]
     out = grouped_salary(apply_filters(jobs, filters, as_of, window_days), column, comparable_salary())
-    return (
-        out.withColumn("label", label_of(F.col("key"), labels))
-        .orderBy(F.desc("n"), F.asc_nulls_last("key")).limit(limit)
-    )
+    top = top_with_remainder(out, "n", [F.desc("n"), F.asc_nulls_last("key")], limit).drop("total")
+    return top.withColumn("label", label_of(F.col("key"), labels))

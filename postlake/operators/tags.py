@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake.operators.breakdown import top_with_remainder
 from postlake.operators.filters import JobFilters, apply_filters
 from postlake.rules import limits
 
@@ -32,10 +33,9 @@ def tag_summary(jobs, filters: JobFilters | None = None, as_of=None, window_days
 
 def top_tags(jobs, filters: JobFilters | None = None, limit: int = 20, as_of=None,
              window_days=limits.LIFECYCLE_DAYS) -> DataFrame:
-    return (
-        _tagged(jobs, filters, as_of, window_days).select(F.explode("source_tags").alias("tag"))
-        .groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag").limit(limit)
-    )
+    """The commonest tags, with the number of tags and how often those beyond the limit occur."""
+    counts = _tagged(jobs, filters, as_of, window_days).select(F.explode("source_tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("count"))
+    return top_with_remainder(counts, "count", [F.desc("count"), F.col("tag")], limit).drop("total")
 
 
 def tag_role_families(jobs, filters: JobFilters | None = None, as_of=None, window_days=limits.LIFECYCLE_DAYS) -> DataFrame:
