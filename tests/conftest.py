@@ -9,8 +9,8 @@ from postlake.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4, "postlake-tests")
+def spark(tmp_path_factory):
+    return local_session(4, "postlake-tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
 
 
 @pytest.fixture
