@@ -413,13 +413,13 @@ class JaccardJoin:
         return dealt.groupBy("group", "i", "j").applyInArrow(_cells(self.percent), "a long, b long, component_a long, component_b long")
 
     def components(self) -> DataFrame:
-        """(class, component_id): the least document of all that a class reaches."""
+        """(class, component, component_id): the least document of all that a class reaches, and a label of its component."""
         placed = self.classes.select("class", "least").join(self.placed.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         if self.merged is not None:
             placed = placed.join(self.merged.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn(
                 "component", F.coalesce("joined", "component"))
         least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-        return placed.join(least, "component").select("class", "component_id")
+        return placed.join(least, "component").select("class", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -431,6 +431,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id is the least of their component; all of a repeated row stay."""
-    kept = near_duplicates(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs that stand for their component: those of its least id, all of a repeated row.
+
+    Of a component with null ids only, the rows of one text stay; rows without words all stay.
+    """
+    run = JaccardJoin(docs, percent)
+    empty = run.signed.filter("n = 0").select("doc_id", "key")
+    rows = run.signed.filter("n > 0").select("doc_id", "key", "class").join(run.components(), "class")
+    named = rows.filter("doc_id = component_id").select("doc_id", "key")
+    nameless = rows.filter("component_id is null").groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    kept = empty.unionByName(named).unionByName(nameless.select("doc_id", "key")).distinct()
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_kept_key"))
+    return docs.join(kept, same, "left_semi")

@@ -66,23 +66,23 @@ def _covered(windows: Column) -> Column:
     return bound(bound(places, repeated), words)
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and forms (word forms, blank-separated).
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and forms (word forms, blank-separated).
 
     Words are runs without ASCII white space; word_chars counts code points in words, n_symbols the
     characters ``# * $ % & | < >``, n_dup_lines the lines with a word that equal an earlier line, and
     n_repeat_words the words inside five-word windows that occur at least twice.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    split = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("words", F.array_remove(F.split("text", BLANKS), ""))
+    split = docs.select(F.col(id_col).alias("doc_id"), *carry, text.alias("text")).withColumn("words", F.array_remove(F.split("text", BLANKS), ""))
     counted = split.select(
-        "doc_id", "text", "words",
+        "doc_id", *carry, "text", "words",
         _windows(F.col("words")).alias("windows"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^ \t-\r]")).alias("lines"),
     )
     repeats = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("bigint")).otherwise(_covered(F.col("windows")))
     return counted.select(
-        "doc_id",
+        "doc_id", *carry,
         F.size("words").cast("bigint").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
         F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -127,9 +127,13 @@ def log_ratios(measured: DataFrame, trusted: DataFrame) -> list[float]:
 
 def quality_rules(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Measures, base_failed, score and kept for every document; trusted has the doc_id of good documents."""
-    measured = written(measures(docs, id_col, text_col), "quality-measures")
+    """Measures, base_failed, score and kept for every document; trusted has the doc_id of good documents.
+
+    ``carry`` names further columns of docs that come along.
+    """
+    measured = written(measures(docs, id_col, text_col, carry), "quality-measures")
     weights = F.from_json(F.lit(json.dumps(log_ratios(measured, trusted))), "array<double>")
 
     def mean(buckets: Column) -> Column:
@@ -138,6 +142,6 @@ def quality_rules(
 
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("score", bound(_grams(F.col("forms")), mean)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("score") >= threshold)).alias("kept"), "score",
     )
