@@ -3,32 +3,53 @@
 Each stage takes (spark, docs, folder), works on all rows that the stage before kept, and returns a
 DataFrame; ``run`` writes each stage's result as Parquet in the shared folder and reads it again as
 the next stage's documents. All stages but the last return the columns of documents.
+
+A stage's verdict is one on a row's text, so rows are told by a hash of their text, not by their id: a
+null id is a document like others, a repeated id keeps or loses each of its rows by that row's own text,
+and repeated rows share their fate (of near copies all rows of the least id with its text stay). Null
+texts count as empty ones, which the rules reject. Further columns, whatever their names, come along.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlake.llm import decontamination, ngram_jaccard, quality_classifier, quality_rules, sentencepieces
 from postlake.llm.queries import piece_model
 from postlake.llm.stage import table, written
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in keep."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+#: A column for the hash of a row's text while a stage works.
+KEY = "_text_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """The texts with their keys as ids."""
+    return keyed.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _only(keyed: DataFrame, keep: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose text is one of keep's (or none of them)."""
+    return keyed.join(keep.select(KEY).distinct(), KEY, how).drop(KEY)
 
 
 def rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass the counting rules and are likely enough under the trusted target."""
-    trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    return _only(docs, quality_rules.quality_rules(docs, trusted).filter("kept"))
+    trusted, keyed = table(spark, folder, "labels").filter("quality = 1").select("doc_id"), _keyed(docs)
+    return _only(keyed, quality_rules.quality_rules(keyed, trusted, carry=(KEY,)).filter("kept")).select(docs.columns)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier takes for good; it learns from all documents, also those the rules rejected."""
-    model = quality_classifier.fit(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality")
-    return _only(docs, quality_classifier.score(docs, model).filter("predicted = 1"))
+    model, keyed = quality_classifier.fit(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality"), _keyed(docs)
+    scored = quality_classifier.score(_texts(keyed), model).filter("predicted = 1")
+    return _only(keyed, scored.withColumnRenamed("doc_id", KEY)).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -38,7 +59,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontamination.without_contaminated(docs, table(spark, folder, "benchmark")).select(docs.columns)
+    keyed = _keyed(docs)
+    hits = decontamination.contaminated(_texts(keyed), table(spark, folder, "benchmark")).withColumnRenamed("doc_id", KEY)
+    return _only(keyed, hits, "left_anti").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
