@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from postlake.llm import quality_classifier, quality_rules, toxicity
+from postlake.llm import quality_classifier, quality_rules, tokens, toxicity
 
 WORDS = [a + b for a in ("lo", "ma", "ti", "re", "so", "na", "ve", "ki") for b in ("ran", "del", "mos", "tin", "gar", "pel", "wis")]
 
@@ -182,3 +182,74 @@ def test_no_toxic_labels_leave_the_base_score(spark):
     docs = documents(spark, ["idiot words", None])
     model = toxicity.fit(docs, spark.createDataFrame([(0, 0)], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
+
+
+def plain_features(text):
+    """Feature ids of a text, word by word."""
+    def hashed(word):
+        data = np.frombuffer(word, np.uint8)
+        return tokens.word_hashes(data, np.array([0, len(data)]))[0]
+
+    def shape(word):
+        kinds = re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]", b"a", word))
+        return re.sub(rb"a+", b"a", re.sub(rb"A+", b"A", re.sub(rb"[0-9]+", b"9", kinds)))
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    low = [w.lower() for w in words]
+    shapes = [np.array([0x5EED], np.uint64) if i and low[i] == low[i - 1] else hashed(shape(w)) for i, w in enumerate(words)]
+    size, found = np.uint64(quality_classifier.FEATURES), set()
+    found |= {int(tokens.mix(hashed(w), 11)[0] % size) for w in low}
+    for n in (1, 2, 3):
+        for i in range(len(words) - n + 1):
+            run = np.concatenate(shapes[i : i + n])
+            found.add(int(tokens.grams(run, np.array([0, n]), n)[0][0] % size))
+    return sorted(found)
+
+
+def test_classifier_rows_equal_a_plain_model(spark, junk):
+    """Features, ratios, descent and scores of every row against dictionaries and loops."""
+    texts, good = junk
+    few = random.Random(2).sample(list(zip(texts, good)), 120)
+    texts = [*(t for t, _ in few), None, "", "Twice twice TWICE x9 X99 é"]
+    labels = [(i, int(g)) for i, (_, g) in enumerate(few) if i % 5]
+    assert len({g for _, g in labels}) == 2
+    train = [(i, g) for i, g in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    features = [plain_features(t) for t in texts]
+    support, classes = [Counter(), Counter()], Counter(g for _, g in train)
+    for i, g in train:
+        support[g].update(features[i])
+
+    def ratio(f):
+        if support[0][f] + support[1][f] < quality_classifier.LEAST_SUPPORT:
+            return 0.0
+        return math.log((support[1][f] + 1) / (classes[1] + 2)) - math.log((support[0][f] + 1) / (classes[0] + 2))
+
+    rows = []
+    for i, g in train:
+        values = {f: r for f in features[i] if (r := ratio(f))}
+        length = math.sqrt(sum(v * v for v in values.values()))
+        if length:
+            rows.append(({f: v / length for f, v in values.items()}, 1 if g else -1))
+    weights, bias, alpha = Counter(), 0.0, [0.0] * len(rows)
+    order = np.random.default_rng(0)
+    for _ in range(quality_classifier.EPOCHS):
+        largest = 0.0
+        for k in order.permutation(len(rows)):
+            values, y = rows[k]
+            gradient = y * (sum(weights[f] * v for f, v in values.items()) + bias) - 1
+            new = min(max(alpha[k] - gradient / (sum(v * v for v in values.values()) + 1), 0), quality_classifier.COST)
+            step, alpha[k] = (new - alpha[k]) * y, new
+            for f, v in values.items():
+                weights[f] += step * v
+            bias += step
+            largest = max(largest, abs(step))
+        if largest < 1e-3:
+            break
+    docs = documents(spark, texts)
+    model = quality_classifier.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), "quality")
+    got = {r.doc_id: r for r in quality_classifier.score(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, found in enumerate(features):
+        length = math.sqrt(sum(ratio(f) ** 2 for f in found))
+        margin = bias + (sum(weights[f] * ratio(f) for f in found) / length if length else 0.0)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, 3 * margin)))), abs=1e-6), i
