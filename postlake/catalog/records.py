@@ -439,11 +439,12 @@ def _(t):
 @query("seen_times_stream", """
     select user_id, event_type, min(ts) as first_seen_at, max(ts) as last_seen_at, count(*) as sightings from events group by user_id, event_type""")
 def _(t):
-    """Events as a stream of files in no order of time, one file a batch, with one state per key."""
+    """Events as a stream of files in no order of time, four batches of many files, with one state per key."""
     folder = f"{checkpoint_dir(t.spark).rstrip('/')}/seen-times-{uuid.uuid4().hex}"
     rows = t.events.select("event_id", "user_id", "event_type", "ts")
-    rows.repartition(4, "event_id").write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    files = max(4, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(files, "event_id").write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/in")
     keys = ["user_id", "event_type"]
     sightings.keep_sightings(stream, keys, f"{folder}/seen", f"{folder}/checkpoint", "ts")
     return sightings.read_sightings(t.spark, keys, f"{folder}/seen")

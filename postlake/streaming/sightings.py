@@ -2,59 +2,29 @@
 
 The state of a key is three values in the state store (RocksDB, on the executors' disks, with its
 changes in the checkpoint folder), so a batch costs what its keys cost, not what all keys cost. Minimum,
-maximum and count don't depend on order: late and shuffled batches give the same table. A key's rows are
-dealt to ``SLICES`` states by their own hash and merged on reading, so a key that holds a third of all
-sightings is not one task's work.
+maximum and count don't depend on order: late and shuffled batches give the same table. It is a streaming
+aggregate: a batch is reduced to its keys before the shuffle, and no row leaves the JVM. A key's rows are
+dealt to ``SLICES`` states by their own hash and merged on reading. Checkpoints of the former processor
+hold another kind of state: a stream that moves to this one starts a new checkpoint folder and target.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLICES = 16
 
 
-class SeenTimes(StatefulProcessor):
-    """Widens a key's seen times and adds to its count; gives the key's new state."""
-
-    def __init__(self, keys: Sequence[str]) -> None:
-        self.keys = list(keys)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "first timestamp, last timestamp, sightings bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = last = None
-        count = 0
-        if self.seen.exists():
-            first, last, count = self.seen.get()
-        for batch in rows:
-            times = batch["seen_at"].dropna()
-            count += len(batch)
-            if len(times):
-                low, high = times.min().to_pydatetime(), times.max().to_pydatetime()
-                first, last = (low if first is None else min(first, low)), (high if last is None else max(last, high))
-        self.seen.update((first, last, count))
-        values = dict(zip([*self.keys, "slice"], key)) | {"first_seen_at": first, "last_seen_at": last, "sightings": count}
-        yield pd.DataFrame({name: [value] for name, value in values.items()})
-
-    def close(self) -> None:
-        pass
-
-
 def sightings(stream: DataFrame, keys: Sequence[str], time: str = "seen_at") -> DataFrame:
     """(keys, slice, first_seen_at, last_seen_at, sightings) of the keys that a batch saw, as a stream in update mode."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     rows = stream.select(*keys, F.pmod(F.xxhash64(*stream.columns), F.lit(SLICES)).cast("int").alias("slice"), F.col(time).cast("timestamp").alias("seen_at"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = ", ".join(f"{k} {types[k]}" for k in (*keys, "slice")) + ", first_seen_at timestamp, last_seen_at timestamp, sightings bigint"
-    return rows.groupBy(*keys, "slice").transformWithStateInPandas(SeenTimes(keys), out, "Update", "None")
+    return rows.groupBy(*keys, "slice").agg(
+        F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("sightings"))
 
 
 def keep_sightings(stream: DataFrame, keys: Sequence[str], target: str, checkpoint: str, time: str = "seen_at") -> None:

@@ -60,3 +60,16 @@ def test_seen_times_do_not_depend_on_order(spark, tmp_path, order):
     states = spark.read.parquet(target)
     assert states.filter("k = 'k1'").select("slice").distinct().count() > 4
     assert states.filter("k = 'k3'").count() <= 2 and states.groupBy("batch").agg(F.count("*")).count() == 4
+
+
+def test_seen_times_are_a_streaming_aggregate_of_every_file(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = spark.range(4000).selectExpr("id % 500 as k", "timestamp_seconds(id) as seen_at")
+    rows.repartition(8).write.parquet(source)
+    flow = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    plan = sightings.sightings(flow, ["k"])._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan  # no Python call per key
+    sightings.keep_sightings(flow, ["k"], str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = sightings.read_sightings(spark, ["k"], str(tmp_path / "out"))
+    want = rows.groupBy("k").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("sightings"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
