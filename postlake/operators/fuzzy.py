@@ -1,16 +1,13 @@
-"""Similarity join on Jaro-Winkler inside blocks, without comparing all pairs of a block.
-
-Lossless candidate keys. With score t and a common prefix of l <= 4 characters, the plain
-Jaro score must reach J = (t - 0.1 l) / (1 - 0.1 l). Jaro is at most (o/n + o/m + 1) / 3 for
-lengths n, m and o shared characters (with multiplicity), so
-
-* the shorter length is at least (3J - 2) times the longer one, and
-* o is at least (3J - 2) n, so in any fixed order of characters the two strings share one of
-  their first n - ceil((3J - 2) n) + 1 characters (prefix filtering).
-
-Every string therefore emits, per prefix class l, the key (block, l, first l characters,
-one rare character occurrence), and only strings meeting on such a key are compared. A hot
-block spreads over these keys.
+"""Similarity join on Jaro-Winkler inside blocks by a cheap bound on every pair of a block.
+
+With score t and a common prefix of l <= 4 characters, the plain Jaro score must reach
+J = (t - 0.1 l) / (1 - 0.1 l). Jaro is at most (o/n + o/m + 1) / 3 for lengths n, m and o shared
+characters (with multiplicity). Every string carries its characters as bits: bit c of the k-th
+number is set when bucket c holds at least k of its characters. The bits that two strings share,
+and the smaller count of characters beyond the last number, are at least o, so no pair that may
+reach t is lost. The test is a few integer operations inside the join; texts are scored only for
+the pairs that pass. The join is quadratic in a block's distinct texts: a block is dealt out to
+tiles of about ``TILE`` texts by hash, and a task joins two tiles, so its memory does not grow.
 """
 
 from __future__ import annotations
@@ -24,6 +21,10 @@ from postlake.functions.similarity import jaro_winkler
 from postlake.rules import limits
 
 _EPS = 1e-9
+#: Numbers of a signature; of characters that a text repeats more often only the count is kept.
+LEVELS = 12
+#: Distinct texts of a tile, about.
+TILE = 2500
 
 
 def needed_jaro(threshold: float) -> list[float]:
@@ -34,53 +35,62 @@ def needed_jaro(threshold: float) -> list[float]:
     return needed
 
 
-def _tokens(text: Column) -> Column:
-    """Character occurrences as numbers, the rarest first: higher repeats, then later letters."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    occurrences = F.transform(
-        chars, lambda c, i: -((i + 1 - F.array_position(chars, c)) * F.lit(2_097_152) + F.ascii(c)).cast("bigint")
-    )
-    return F.array_sort(occurrences)
-
-
-def _entries(titles: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
-    needed = F.array(*[F.lit(j) for j in needed_jaro(threshold)])
-    base = titles.withColumns({"_tokens": _tokens(F.col("text")), "_n": F.length("text")})
-    classes = F.explode(F.sequence(F.lit(0), F.least(F.lit(4), F.col("_n"))))
-    keyed = base.select("*", classes.alias("_l")).withColumn("_j", F.element_at(needed, F.col("_l") + 1))
-    shared = F.ceil((3 * F.col("_j") - 2) * F.col("_n") - _EPS)
-    keyed = keyed.withColumn("_prefix", F.slice("_tokens", F.lit(1), (F.col("_n") - shared + 1).cast("int")))
-    return keyed.withColumn("_head", F.substr("text", F.lit(1), F.col("_l"))).select(
-        *block, "text", "_n", "_l", "_j", "_head", "_tokens", "_prefix", F.explode("_prefix").alias("_token")
-    )
+def _signed(titles: DataFrame) -> DataFrame:
+    """Each text's signature: LEVELS numbers with a bit for each bucket that holds at least 1, 2, ... of its
+    characters, the characters beyond, its length and its first four characters."""
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    bucket = lambda c: F.when(c == " ", 63).otherwise(F.ascii(c) % 39)
+    # Staged columns: a lambda would repeat an expression for every character.
+    titles = titles.withColumn("_buckets", F.array_sort(F.transform(chars, bucket)))
+    titles = titles.withColumn("_levels", F.transform("_buckets", lambda c, i: (i + 1 - F.array_position("_buckets", c)) * 64 + c))
+
+    def bits(k: int) -> Column:
+        held = F.filter("_levels", lambda x: (x >= 64 * k) & (x < 64 * (k + 1)))
+        return F.aggregate(held, F.lit(0).cast("bigint"), lambda got, x: got.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 64).cast("int"))))
+
+    signed = {
+        "_n": F.length("text"), **{f"_s{k}": bits(k) for k in range(LEVELS)},
+        "_rest": F.size(F.filter("_levels", lambda x: x >= 64 * LEVELS)),
+        **{f"_c{i}": F.ascii(F.substr("text", F.lit(i + 1), F.lit(1))) for i in range(4)},
+    }
+    # Never NULL: the join's test stays short enough to be compiled.
+    return titles.withColumns({name: F.coalesce(value, F.lit(0)) for name, value in signed.items()}).drop("_buckets", "_levels")
+
+
+def _tiled(titles: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Each text with its signature and its tile of the block, of so many (1 for most blocks)."""
+    big = titles.groupBy(*block).agg(F.count("*").alias("_size")).filter(F.col("_size") > TILE)
+    tiles = F.coalesce(F.ceil(F.col("_size") / TILE), F.lit(1)).cast("int")
+    return _signed(titles).join(big, list(block), "left").withColumn("_tiles", tiles).withColumn(
+        "_tile", F.pmod(F.xxhash64("text"), F.col("_tiles")).cast("int")).drop("_size")
 
 
 def candidate_pairs(titles: DataFrame, block: Sequence[str], threshold: float = limits.FUZZY_TITLE) -> DataFrame:
-    """Distinct (block, left, right) with left < right that may reach ``threshold``."""
-    entries = _entries(titles, block, threshold)
-    sides = [
-        entries.select(
-            *[F.col(b).alias(b) for b in block], "_l", "_head", "_token",
-            *[F.col(c).alias(f"{side}{c}") for c in ("text", "_n", "_tokens", "_prefix")],
-            *([F.col("_j")] if side == "a" else []),
-        )
-        for side in ("a", "b")
-    ]
-    a, b = F.col("atext"), F.col("btext")
+    """Distinct (block, left, right) with left < right that may reach ``threshold``, of distinct titles."""
+    needed = needed_jaro(threshold)
+    tiled = _tiled(titles, block)
+    own = [c for c in tiled.columns if c.startswith("_") and c not in ("_tile", "_tiles")]
+
+    def side(name: str, pair: Column) -> DataFrame:
+        return tiled.select(*block, F.explode(pair).alias("_pair"), *[F.col(c).alias(f"{name}{c}") for c in ("text", *own)]).select("*", "_pair.*").drop("_pair")
+
+    def pairs(low: Column, high: Column) -> Column:
+        return F.struct(low.alias("_low"), high.alias("_high"))
+
+    tile, last = F.col("_tile"), F.col("_tiles") - 1
+    a = side("a", F.transform(F.sequence(tile, last), lambda j: pairs(tile, j)))
+    b = side("b", F.transform(F.sequence(F.lit(0), tile), lambda i: pairs(i, tile)))
+    differ = lambda i: F.col(f"a_c{i}") != F.col(f"b_c{i}")
+    jaro = F.when(differ(0), needed[0]).when(differ(1), needed[1]).when(differ(2), needed[2]).when(differ(3), needed[3]).otherwise(needed[4])
     an, bn = F.col("a_n"), F.col("b_n")
-    met = sides[0].join(sides[1], [*block, "_l", "_head", "_token"]).filter(a < b)
-    # Exactly the class of the pair's common prefix, and exactly its first shared token, so
-    # each pair appears once and needs no distinct.
-    next_a, next_b = F.substr(a, F.col("_l") + 1, F.lit(1)), F.substr(b, F.col("_l") + 1, F.lit(1))
-    own_class = (F.col("_l") == 4) | (next_a != next_b)
-    first_token = F.get(F.array_intersect("a_prefix", "b_prefix"), 0) == F.col("_token")
-    ratio = F.least(an, bn) >= (3 * F.col("_j") - 2) * F.greatest(an, bn) - _EPS
-    overlap = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    reachable = overlap / an + overlap / bn >= 3 * F.col("_j") - 1 - _EPS
-    return (
-        met.filter(ratio & own_class).filter(first_token).filter(reachable)
-        .select(*block, a.alias("left"), b.alias("right"))
-    )
+    shared = sum((F.bit_count(F.col(f"a_s{k}").bitwiseAND(F.col(f"b_s{k}"))) for k in range(LEVELS)), F.least("a_rest", "b_rest"))
+    reachable = F.least(shared, an, bn).cast("bigint") * (an + bn) >= (3 * jaro - 1 - _EPS) * an * bn
+    once = (F.col("_low") < F.col("_high")) | (F.col("atext") < F.col("btext"))
+    # Few bytes and much work: the tiles keep all partitions, which adaptive execution would merge.
+    keys = [*block, "_low", "_high"]
+    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.repartition(parts, *keys).join(b.repartition(parts, *keys), keys).filter(reachable & once)
+    return met.select(*block, F.least("atext", "btext").alias("left"), F.greatest("atext", "btext").alias("right"))
 
 
 def similar_pairs(

@@ -203,3 +203,22 @@ def test_registry_keeps_newer_decisions(spark):
     table, audit = merge.apply_decisions(old, decide, NOW)
     assert {r.id: (r.permission_status, r.is_paused) for r in table.collect()} == {"a": ("APPROVED", False), "b": ("BLOCKED", True)}
     assert audit.filter("refusal is not null").count() == 2
+
+
+def test_similarity_join_over_many_tiles(spark, monkeypatch):
+    import duckdb
+
+    rng = random.Random(5)
+    monkeypatch.setattr(fuzzy, "TILE", 20)  # a block is joined tile by tile, not through keys of single characters
+    stems = ["".join(rng.choices("ab cde+#", k=rng.randint(3, 60))).strip() + "a" * rng.choice((0, 0, 40)) for _ in range(50)]
+    titles = {t[:i] + rng.choice(["", "x", "u"]) + t[i:] for t in stems for i in (0, 2, 5, len(t))} - {""}
+    rows = [(k, t) for t in sorted(titles) for k in ("one", None)]
+    df = spark.createDataFrame(rows, "block string, t string")
+    got = [(r.block, r.left, r.right) for r in fuzzy.similar_pairs(df, ["block"], "t").collect()]
+    con = duckdb.connect()
+    con.execute("create table t (block varchar, t varchar)")
+    con.executemany("insert into t values (?, ?)", rows)
+    want = set(con.execute("select a.block, a.t, b.t from t a join t b on a.block = b.block and a.t < b.t where jaro_winkler_similarity(a.t, b.t) >= 0.93").fetchall())
+    assert set(got) == want and len(got) == len(want) > 100
+    pairs = fuzzy.candidate_pairs(df.select("block", F.col("t").alias("text")).distinct(), ["block"])
+    assert "ArrayIntersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
