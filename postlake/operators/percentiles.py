@@ -16,8 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlake.session import cut_lineage
+
 ACCURACY = 10_000
 MARGIN = 4  # sketch errors on each side of a bracket
+BROADCAST_GROUPS = 10_000  # a group's sketch is its keys and two doubles per probability
 
 
 def grouped_percentiles(
@@ -70,13 +73,16 @@ def grouped_percentiles(
 
 
 def _attach(base: DataFrame, sketch: DataFrame, ks: list[str]) -> DataFrame:
-    """Sketch columns on every row. Groups are few next to rows, so adaptive execution
-    broadcasts the sketch when its measured size allows and splits hot groups otherwise."""
+    """Sketch columns on every row. The sketch is computed first and its groups are counted: few are
+    broadcast, so that the rows are neither shuffled nor sorted by group; more meet in a shuffled join,
+    of which adaptive execution splits hot groups."""
     if not ks:
         return base.withColumns(
             {"n": sketch.select("n").scalar(), "ends": sketch.select("ends").scalar()}
         )
-    other = sketch.select(*[F.col(k).alias(f"s_{k}") for k in ks], "n", "ends")
+    other = cut_lineage(sketch.select(*[F.col(k).alias(f"s_{k}") for k in ks], "n", "ends"))
+    if other.count() <= BROADCAST_GROUPS:
+        other = F.broadcast(other)
     condition = F.lit(True)
     for k in ks:
         condition = condition & F.col(k).eqNullSafe(F.col(f"s_{k}"))

@@ -222,3 +222,10 @@ def test_similarity_join_over_many_tiles(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) > 100
     pairs = fuzzy.candidate_pairs(df.select("block", F.col("t").alias("text")).distinct(), ["block"])
     assert "ArrayIntersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_few_groups_are_not_shuffled_by_group(spark):
+    df = spark.range(3000).selectExpr("case when id % 3 > 0 then id % 3 end as k", "cast(id as double) as v")
+    out = grouped_percentiles(df, ["k"], "v", (0.5,))
+    assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k or 0, r.p50) for r in out.collect()) == [(0, 1498.5), (1, 1499.5), (2, 1500.5)]
