@@ -6,15 +6,16 @@ of its context's occurrences that go on with the word, times ``BACKOFF`` for eve
 The single word is the last resort, with its share of all words. A document's score is the sum of the
 logarithms.
 
-1. Documents are written in blocks: word hashes once per block, and each document as numbers into them.
-2. Exploded n-grams: a block's distinct n-grams with their counts are dealt out to parts by hash, packed.
+1. Documents are written in blocks of compressed text; a block's words are hashed again where they are needed.
+2. Exploded n-grams: a block's distinct n-grams with their counts are dealt out to parts by hash, as steps
+   between rising hashes.
 3. Count tables: each part adds the blocks' counts up and answers each block with the corpus counts of
    the n-grams it asked for, in its order. As every block adds an n-gram up first, a frequent n-gram
    costs a part one entry per block.
 4. Answers meet their block again; each document's logarithms are summed.
 
 Words are lower-cased (A-Z) runs without ASCII white space; null and empty texts have no words and
-score 0. N-grams are 64-bit hashes, of which 48 bits and the part are compared. One output row per
+score 0. N-grams are 64-bit hashes, of which 48 bits and those that tell the parts are compared. One output row per
 input row; columns besides the named ones are ignored.
 """
 
@@ -38,28 +39,29 @@ LEAST_COUNT = 2
 #: Bytes of text in a block, and n-grams that a part gets, about.
 BLOCK_TEXT = 8_000_000
 PART_GRAMS = 2_000_000
+#: Documents that a task gets at once, so that blocks of short texts fill up.
+ROWS_AT_ONCE = 2500
 
 _U = np.uint64
 _LOW = _U((1 << 48) - 1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block of documents."""
+    """One row per block of documents: their texts in one piece, compressed."""
     for batch in batches:
         for first, last, data, starts in blocks(batch.column(1), BLOCK_TEXT):
-            words, rows = word_hashes(data, starts, lower=True)
-            vocabulary, numbers = np.unique(words, return_inverse=True)
-            packed = zstandard.ZstdCompressor(level=3).compress(numbers.astype(np.uint32).tobytes())
+            _, rows = word_hashes(data, starts, lower=True)
+            packed = zstandard.ZstdCompressor(level=6).compress(data.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex]), pa.array([batch.column(0).slice(first, last - first).to_pylist()], pa.list_(pa.int64())),
-                 pa.array([np.diff(rows).tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()]), pa.array([packed])],
-                ["block", "doc_ids", "lengths", "vocabulary", "words"])
+                 pa.array([int(rows[-1])], pa.int64()), pa.array([starts.tolist()], pa.list_(pa.int64())), pa.array([packed], pa.binary())],
+                ["block", "doc_ids", "n_words", "starts", "texts"])
 
 
-def _words_of(lengths, vocabulary: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _words_of(starts, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, words before each document and in all) of a stored block."""
-    numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint32)
-    return np.frombuffer(vocabulary, _U)[numbers], np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))]).astype(np.int64)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return word_hashes(data, np.asarray(starts, np.int64), lower=True)
 
 
 def _gram_arrays(words: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -76,39 +78,62 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> _U(48)) * _U(parts) >> _U(16)).astype(np.int64)
 
 
+def _shift(parts: int) -> np.uint64:
+    """Low bits of a hash that are not compared: 48 bits and those that tell the parts remain."""
+    return _U(max(16 - (parts - 1).bit_length(), 0))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest, compressed."""
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if not len(values) or values.max() <= np.iinfo(kind).max:
+            break
+    return np.dtype(kind).char.encode() + zstandard.ZstdCompressor(level=3).compress(values.astype(kind).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.dtype(data[:1].decode()))
+
+
 def _requests(parts: int, order: int):
+    shift = _shift(parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words, rows = _words_of(*(batch.column(c)[k].as_py() for c in ("lengths", "vocabulary", "words")))
+                words, rows = _words_of(*(batch.column(c)[k].as_py() for c in ("starts", "texts")))
                 keys, counts = np.unique(np.concatenate([v for v, _ in _gram_arrays(words, rows, order)]), return_counts=True)
                 if not len(keys):
                     continue
                 edges = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(edges))
-                low = np.column_stack([(keys & _U(0xFFFF)).astype(np.uint16), (keys >> _U(16) & _U(0xFFFF)).astype(np.uint16), (keys >> _U(32) & _U(0xFFFF)).astype(np.uint16)])
+                keys >>= shift
+                # A part's keys rise: the first one, then the steps in low and high halves, of which the high ones are small.
+                steps = np.diff(keys, prepend=keys[:1])
+                steps[edges[full]] = 0
                 spans = [slice(edges[p], edges[p + 1]) for p in full]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full.astype(np.int32)), pa.array([batch.column("block")[k].as_py()] * len(full)),
-                     pa.array([low[s].tobytes() for s in spans], pa.binary()), pa.array([counts[s].astype(np.uint32).tobytes() for s in spans], pa.binary())],
-                    ["part", "block", "keys", "counts"])
+                     pa.array(keys[edges[full]].view(np.int64)), pa.array([steps[s].astype(np.uint32).tobytes() for s in spans], pa.binary()),
+                     pa.array([_packed(steps[s] >> _U(32)) for s in spans], pa.binary()), pa.array([_packed(counts[s]) for s in spans], pa.binary())],
+                    ["part", "block", "first", "low", "high", "counts"])
 
     return run
 
 
 def _answers(table: pa.Table) -> pa.Table:
     """The summed counts of each block's n-grams in one part."""
-    low = [np.frombuffer(k.as_py(), np.uint16).reshape(-1, 3).astype(_U) for k in table["keys"]]
-    sizes = [len(x) for x in low]
-    low = np.concatenate(low)
-    keys = low[:, 0] | low[:, 1] << _U(16) | low[:, 2] << _U(32)
-    counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in table["counts"]])
-    _, place = np.unique(keys, return_inverse=True)
+    asked = []
+    for first, low, high in zip(*(table[c].to_pylist() for c in ("first", "low", "high"))):
+        steps = np.frombuffer(low, np.uint32) | _unpacked(high).astype(_U) << _U(32)
+        asked.append(np.cumsum(steps, dtype=_U) + np.array([first]).view(_U))
+    counts = np.concatenate([_unpacked(c.as_py()) for c in table["counts"]])
+    _, place = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.minimum(np.bincount(place, weights=counts)[place], 2**32 - 1).astype(np.uint32)
-    edges = np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in asked])])
     return pa.table({
         "block": table["block"], "part": table["part"],
-        "totals": pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+        "totals": pa.array([_packed(total[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()),
     })
 
 
@@ -139,9 +164,9 @@ def _scored(corpus_words: int, order: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, sizes, sums = [], [], []
         right = right.sort_by("part")
-        totals = np.concatenate([np.frombuffer(t.as_py(), np.uint32) for t in right["totals"]]) if right.num_rows else np.zeros(0, np.uint32)
+        totals = np.concatenate([_unpacked(t.as_py()) for t in right["totals"]]) if right.num_rows else np.zeros(0, np.uint32)
         for k in range(left.num_rows):
-            words, rows = _words_of(*(left[c][k].as_py() for c in ("lengths", "vocabulary", "words")))
+            words, rows = _words_of(*(left[c][k].as_py() for c in ("starts", "texts")))
             keys = np.unique(np.concatenate([v for v, _ in _gram_arrays(words, rows, order)])) if len(words) else np.zeros(0, _U)
             sums.append(document_scores(words, rows, lambda v: totals[np.searchsorted(keys, v)], corpus_words, order))
             ids.extend(left["doc_ids"][k].as_py())
@@ -160,11 +185,11 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stored = written(
-        source.mapInArrow(_blocks, "block string, doc_ids array<long>, lengths array<long>, vocabulary binary, words binary"), "lm-blocks")
-    corpus_words = stored.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        source.mapInArrow(_blocks, "block string, doc_ids array<long>, n_words long, starts array<long>, texts binary"), "lm-blocks", ROWS_AT_ONCE)
+    corpus_words = stored.agg(F.sum("n_words")).first()[0] or 0
     parts = min(1 << 16, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-order * corpus_words // PART_GRAMS)))
-    asked = stored.select("block", "lengths", "vocabulary", "words").mapInArrow(
-        _requests(parts, order), "part int, block string, keys binary, counts binary")
+    asked = stored.select("block", "starts", "texts").mapInArrow(
+        _requests(parts, order), "part int, block string, first long, low binary, high binary, counts binary")
     answered = asked.groupBy("part").applyInArrow(_answers, "block string, part int, totals binary")
     return stored.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         _scored(corpus_words, order), "doc_id long, n_words long, log_score double, mean_log_score double")

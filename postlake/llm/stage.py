@@ -23,11 +23,11 @@ ROWS_AT_ONCE = 1000
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """df as a Parquet table in the shared folder: later steps neither repeat it nor lose it with an executor."""
     spark = df.sparkSession
     path, before = shared_path(spark, what), spark.conf.get(_ROWS_SETTING)
-    spark.conf.set(_ROWS_SETTING, ROWS_AT_ONCE)
+    spark.conf.set(_ROWS_SETTING, rows_at_once)
     try:
         df.write.parquet(path)
     finally:

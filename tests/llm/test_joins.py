@@ -196,3 +196,28 @@ def test_scores_equal_a_direct_model(spark, texts):
 def test_scores_of_nothing(spark):
     assert lm_scoring.score(documents(spark, [""]).limit(0)).collect() == []
     assert [r.log_score for r in lm_scoring.score(documents(spark, [None, " "])).collect()] == [0.0, 0.0]
+
+
+def test_requests_and_blocks_of_a_language_model_are_small():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(500)) for _ in range(200)] + [None, ""]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(202), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    (block,) = lm_scoring._blocks([rows])
+    assert block.get_total_buffer_size() < 0.7 * rows.get_total_buffer_size()
+    (asked,) = lm_scoring._requests(40, 3)([block])
+    grams = np.unique(np.concatenate([v for v, _ in lm_scoring._gram_arrays(*lm_scoring._words_of(block["starts"][0].as_py(), block["texts"][0].as_py()), 3)]))
+    assert sum(asked.column(c).nbytes for c in ("low", "high", "counts")) < 6 * len(grams)  # 10 with whole keys and counts
+    answered = lm_scoring._answers(pa.Table.from_batches([asked]))
+    assert sum(len(lm_scoring._unpacked(t.as_py())) for t in answered["totals"]) == len(grams)
+
+
+@pytest.mark.parametrize("values", [[], [0, 255], [256, 1], [2**32 - 1, 0]])
+def test_packed_numbers_come_back(values):
+    import numpy as np
+
+    assert lm_scoring._unpacked(lm_scoring._packed(np.array(values, np.uint64))).tolist() == values
