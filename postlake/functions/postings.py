@@ -50,7 +50,7 @@ _names = count()
 def _bind(value: str, body) -> str:
     """``body`` over ``value`` bound once to a fresh lambda variable."""
     name = f"v{next(_names)}"
-    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
+    return f"aggregate(cast(array() as array<int>), {value}, ({name}, i{name}) -> {name}, {name} -> {body(name)})"
 
 
 def _sub(value: str, path: str) -> str:
@@ -102,10 +102,23 @@ def _scalar(value: str) -> str:
     )
 
 
-def _raw_text(value: str) -> str:
+def _any_text(value: str) -> str:
     return _scalar(_named(_first_item(_named(value))))
 
 
+def _raw_text(value: str) -> str:
+    """``_any_text``, whose nested steps run only for values that are neither missing, a string nor an object named by one."""
+
+    def told(v: str) -> str:
+        name = f"try_variant_get({v}, '$.name', 'string')"
+        return (
+            f"case when {v} is null then null when schema_of_variant({v}) = 'STRING' then try_variant_get({v}, '$', 'string') "
+            f"when schema_of_variant({_sub(v, '$.name')}) = 'STRING' and {name} <> '' then {name} else {_any_text(v)} end"
+        )
+
+    return told(value) if value.isidentifier() else _bind(value, told)
+
+
 def raw_text(value: str) -> Column:
     """Text of a string, number, named object, or a list's first usable item."""
     return F.expr(_raw_text(value))
@@ -158,10 +171,11 @@ def _tidy_texts(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
 
     The staged projections let Spark batch all fields of a stage into one Arrow exchange.
     """
-    df = df.withColumns({name: unescape_html(value) for name, value in raw.items()})
+    df = df.withColumns(raw)
+    df = df.withColumns({name: unescape_html(name) for name in raw})
     df = df.withColumns({name: repair_mojibake(name) for name in raw})
     df = df.withColumns({name: nfkc(name) for name in raw})
-    return df.withColumns({name: tidy(F.col(name)) for name in raw})
+    return df.withColumns({name: tidy(name) for name in raw})
 
 
 def _address_texts(df: DataFrame) -> DataFrame:
@@ -230,7 +244,9 @@ def normalize_postings(
 ) -> DataFrame:
     """``df`` plus the observation columns of every posting in ``json_col``."""
     df = open_postings(df, json_col)
-    salary, pay_value = "p_baseSalary", _sub("p_baseSalary", "$.value")
+    salary, pay_value = "p_baseSalary", "p_pay"
+    df = df.withColumns({n: F.expr(_sub(salary, f)) for n, f in _PAY_FIELDS.items()})
+    df = df.withColumns({"p_low": _pay_bound("p_pay_min"), "p_high": _pay_bound("p_pay_max")})
     df = _tidy_texts(
         df,
         {
@@ -375,17 +391,23 @@ def _rules(df: DataFrame, page_url: str, domain: str, captured_at: str, position
     return df.drop("page_url").withColumnRenamed("page_url_", "page_url")
 
 
-def _structured_pay() -> Column:
-    """Pay struct of ``baseSalary``: scalar or object value, unit text, currency spellings."""
-    value = _sub("p_baseSalary", "$.value")
-    is_object = F.expr(_is("p_baseSalary", "OBJECT"))
+#: The parts of ``baseSalary`` that amounts are read from, taken out once per row.
+_PAY_FIELDS = {"p_pay": "$.value", "p_pay_min": "$.value.minValue", "p_pay_max": "$.value.maxValue", "p_pay_value": "$.value.value"}
 
-    def bound(name: str) -> Column:
-        stated = f"coalesce({_filled(_sub(value, '$.minValue'))}, {_filled(_sub(value, '$.maxValue'))}) is not null"
-        nested = f"case when {stated} then {_filled(_sub(value, '$.' + name))} else {_sub(value, '$.value')} end"
-        return F.when(is_object, _amount(f"case when {_is(value, 'OBJECT')} then {nested} else {value} end"))
 
-    found = F.struct(bound("minValue").alias("low"), bound("maxValue").alias("high"))
+def _pay_bound(bound: str) -> Column:
+    """Amount of one bound: the object's own, its single value where it states no bound, or the scalar value."""
+    filled = "case when not is_variant_null({0}) then {0} end".format
+    stated = f"coalesce({filled('p_pay_min')}, {filled('p_pay_max')}) is not null"
+    nested = f"case when {stated} then {filled(bound)} else p_pay_value end"
+    return F.when(
+        F.expr(_is("p_baseSalary", "OBJECT")), _amount(f"case when {_is('p_pay', 'OBJECT')} then {nested} else p_pay end")
+    )
+
+
+def _structured_pay() -> Column:
+    """Pay struct of ``baseSalary``: scalar or object value, unit text, currency spellings."""
+    found = F.struct(F.col("p_low").alias("low"), F.col("p_high").alias("high"))
     unit = F.upper(F.coalesce("t_unit", "t_unit2"))
     code = F.upper("t_currency")
     given = F.struct(

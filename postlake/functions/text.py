@@ -19,6 +19,7 @@ from postlake.rules.words import MISSING_MARKERS
 
 # Characters Python's \s matches and Java's (?U)\s does not are the four file separators.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+_UNTIDY = r"(?U)[\s\x1c-\x1f&&[^ ]]|  "  # what SPACES would change: no plain space, or two
 _LATIN_END = 0x24F
 
 
@@ -29,9 +30,16 @@ def as_column(value: Column | str) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value`` bound once, so large expressions are not repeated.
 
+    The value is the start of an empty array's aggregate, the body its finish. (As the only item of a
+    transformed array, each row would work out the types of the whole body anew, at every level of nesting.)
     Python steps may be part of ``value`` but not of ``body`` (it becomes an array lambda).
     """
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
+
+
+def _bound(value: Column | str, body) -> Column:
+    """``let`` of an expression; a column's name needs no binding, and its body is compiled."""
+    return body(F.col(value)) if isinstance(value, str) else let(value, body)
 
 
 def any_phrase(text: Column, phrases) -> Column:
@@ -96,6 +104,11 @@ _COMMON = (*range(0x80, _LATIN_END + 1), *range(0x2010, 0x2028))
 _UNCOMMON = f"[^\\x{{0}}-\\x{{{_LATIN_END:X}}}\\x{{2010}}-\\x{{2027}}]"
 
 
+def _beyond_ascii(text: Column) -> Column:
+    """A character takes more than one byte: the cheap test in front of those on character classes."""
+    return F.octet_length(text) != F.char_length(text)
+
+
 def _holds(text: Column, codes: tuple[int, ...]) -> Column:
     """Does the text hold one of ``codes``? A short class decides for common characters; the
     class of all others (hundreds of ranges) runs only on texts that have such characters."""
@@ -153,7 +166,7 @@ def _icu(method: str, text: Column) -> Column:
 
 
 def nfkc(text: Column | str) -> Column:
-    return let(as_column(text), lambda t: F.when(_holds(t, _needs_nfkc()), _icu("compose", t)).otherwise(t))
+    return _bound(text, lambda t: F.when(_beyond_ascii(t) & _holds(t, _needs_nfkc()), _icu("compose", t)).otherwise(t))
 
 
 # Named entities that HTML 5 added to those of HTML 4 or changed, from Python's table; "AMP" waits for the last step.
@@ -178,7 +191,7 @@ def unescape_html(text: Column | str) -> Column:
     and all named ones; a missing semicolon is tolerated on the common names."""
 
     def decode(t: Column) -> Column:
-        newer = F.when(t.rlike("&[A-Za-z][A-Za-z0-9]*;"), _newer_entities(t)).otherwise(t)
+        newer = F.when(t.rlike("&(?!(?:amp|lt|gt|quot|nbsp);)[A-Za-z][A-Za-z0-9]*;"), _newer_entities(t)).otherwise(t)
         closed = F.regexp_replace(newer, "&(amp|lt|gt|quot|nbsp)(?![A-Za-z0-9;])", "&$1;")
         closed = F.replace(closed, F.lit("&apos;"), F.lit("&#39;"))
         plain = F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), closed)
@@ -187,7 +200,7 @@ def unescape_html(text: Column | str) -> Column:
         ).otherwise(plain)
         return F.when(t.contains("&"), remapped).otherwise(t)
 
-    return let(as_column(text), decode)
+    return _bound(text, decode)
 
 
 def repair_mojibake(text: Column | str) -> Column:
@@ -199,18 +212,18 @@ def repair_mojibake(text: Column | str) -> Column:
         back = F.try_validate_utf8(F.encode(single, "ISO-8859-1").cast("string"))
         one_byte = single.rlike("^[\\x{00}-\\x{FF}]*$") & ~t.rlike("[\\x{80}-\\x{9F}]")
         broken = t.rlike("[ÂÃ][\\x{80}-¿]|â€")
-        return F.when(broken & one_byte, F.coalesce(back, t)).otherwise(t)
+        return F.when(_beyond_ascii(t) & broken & one_byte, F.coalesce(back, t)).otherwise(t)
 
-    return let(as_column(text), repair)
+    return _bound(text, repair)
 
 
 # --- column functions ----------------------------------------------------------------------
 
 
-def tidy(text: Column) -> Column:
+def tidy(text: Column | str) -> Column:
     """Whitespace runs become one space, ends trimmed, 'no value' words become NULL."""
     return let(
-        F.trim(F.regexp_replace(text, SPACES, " ")),
+        _bound(text, lambda t: F.trim(F.when(t.rlike(_UNTIDY), F.regexp_replace(t, SPACES, " ")).otherwise(t))),
         lambda t: F.when(~F.lower(t).isin(*MISSING_MARKERS), t),
     )
 
@@ -227,7 +240,8 @@ def fold_accents(value: Column | str) -> Column:
     def fold(t: Column) -> Column:
         bare = F.regexp_replace(_icu("decompose", t), _combining(), "")
         special = F.replace(F.lower(F.replace(bare, F.lit("ẞ"), F.lit("ss"))), F.lit("ß"), F.lit("ss"))
-        return F.when(_holds(t, _needs_fold()), special).otherwise(F.lower(F.translate(t, source, target)))
+        near = F.when(_holds(t, _needs_fold()), special).otherwise(F.lower(F.translate(t, source, target)))
+        return F.when(_beyond_ascii(t), near).otherwise(F.lower(t))
 
     return let(F.coalesce(as_column(value), F.lit("")), fold)
 

@@ -225,3 +225,10 @@ def test_every_named_entity_is_decoded(evaluate):
     texts = [f"a&{name}b" for name in entities.html5 if name.endswith(";")]
     texts += ["&check; &plus; &num; &lpar;x&rpar;", "&amp;check; &check;", "&AMP;lt; &amp;AMP;", "&nope; &amp", "x & y"]
     assert evaluate(text.unescape_html("v"), texts) == [html.unescape(t) for t in texts]
+
+
+def test_plain_texts_skip_steps_and_others_do_not(evaluate):
+    given = ["a b", " a  b ", "a\tb", "a\x1cb", "a b", "\n", "a&AMP;b", "a&amp;b &Tab;c", "Café", "ﬁn", "N/A", "", None]
+    out = evaluate(text.clean_text(text.unescape_html("v")), given)
+    assert out == ["a b", "a b", "a b", "a b", "a b", None, "a&b", "a&b c", "Café", "fin", None, None, None]
+    assert evaluate(text.fold_accents("v"), ["ABC", "CafÉ", "ẞ", "ﬁ", None]) == ["abc", "cafe", "ss", "fi", ""]
