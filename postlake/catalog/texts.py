@@ -10,7 +10,7 @@ from postlake.catalog.base import query
 from postlake.functions import attributes, classify, jobs, jsonld, places, salary, text, titles, urls
 from postlake.functions import snapshot as profile
 from postlake.plans.silver import explode_postings, parse_captures
-from postlake.session import checkpoint_dir
+from postlake.session import checkpoint_dir, spread
 from postlake.sources import feeds, publish, warc
 
 
@@ -255,7 +255,7 @@ _CITY = "case n_regionkey when 0 then 'Bandung' when 1 then 'Surabaya' when 2 th
 
 def _posting_rows(t):
     """Orders as JobPosting objects: the employer is the customer, pay follows the price."""
-    rows = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = (spread(t.orders).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")))
     pay = F.struct(F.lit("Rp").alias("currency"), F.struct(
         F.floor("o_totalprice").alias("minValue"), (F.floor("o_totalprice") * 2).alias("maxValue"), F.lit("MONTH").alias("unitText")).alias("value"))

@@ -13,7 +13,7 @@ from postlake.operators.merge import merge_records, retire, snapshot_gate, unlis
 from postlake.operators.policy import refusal_reason
 from postlake.rules import limits
 from postlake.rules.words import NORMALIZATION_VERSION
-from postlake.session import cut_lineage
+from postlake.session import cut_lineage, spread
 from postlake.sources.versions import StaleVersion, Version, VersionedTables
 
 JOB_VALUES = (
@@ -35,14 +35,9 @@ class Run:
 
 
 def _normalized(source_rows: DataFrame, observed_at, currency: str | None, period: str | None) -> DataFrame:
-    """A source's rows normalized once; the gate, the rejects and both merges read them.
-
-    A file is read by as many tasks as it has row groups, often one. The rows are few bytes and much work, so they
-    are dealt out first: by the session's cores, because adaptive execution would judge by bytes and use few tasks.
-    """
+    """A source's rows normalized once; the gate, the rejects and both merges read them."""
     observed = F.lit(observed_at).cast("timestamp")
-    tasks = 2 * source_rows.sparkSession.sparkContext.defaultParallelism
-    rows = normalize_source_jobs(source_rows.repartition(tasks), currency, period)
+    rows = normalize_source_jobs(spread(source_rows), currency, period)
     last = F.coalesce("last_observed_at", observed)
     return cut_lineage(rows.withColumns({"last_seen_at": last, "first_seen_at": F.coalesce("first_observed_at", last)}))
 

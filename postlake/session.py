@@ -47,6 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few bytes and much work, dealt to twice as many tasks as the session has cores.
+
+    A file is read by as many tasks as it has row groups, often one; adaptive execution would judge by bytes.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` reliably so that loops keep a short plan and survive lost executors."""
     checkpoint_dir(df.sparkSession)
