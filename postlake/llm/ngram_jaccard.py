@@ -9,7 +9,7 @@ reach the similarity t only if they differ in at most (1 - t) / (1 + t) * (a + b
    in which two sketches differ is at most the symmetric difference. With D the largest difference of
    a linked pair of the band and P > D, linked sketches agree in at least P - D words (pigeonhole).
    Bands double in size; a set close under the next band is sketched for that one too.
-3. Join: words are dealt out by their value, packed as sorted numbers, and meet in tasks of bounded
+3. Join: words are dealt out by their value, packed as numbers, and meet in tasks of bounded
    size. Empty words say nothing and are left out; a word value of up to ``HOT`` classes gives its
    pairs. A sketch's margin is the number of words that must still agree with every linked sketch
    when its empty and hot words are set aside. While the margin is positive, every link of the class is found in
@@ -20,8 +20,8 @@ reach the similarity t only if they differ in at most (1 - t) / (1 + t) * (a + b
 5. Groups: of the hot word values, every fourth draws one of its classes as pivot, another one for
    each value, and pairs all its classes with it: fewer pairs than entries, however large the group.
    Classes that then still lie in different components and are joined by a chain of hot values form a
-   group; it is cut into cells of bounded size, each pair of classes meets in one cell, where fine
-   sketches and then the sets themselves are compared, and a cell gives a spanning forest of the links
+   group; it is cut into cells of bounded size, each pair of classes of like size meets in one cell, where
+   rough sketches, fine sketches and then the sets themselves are compared, and a cell gives a spanning forest of the links
    it finds, fewer rows than it has classes. So no link between components is lost and none inside one
    is found twice. Those links join whole components, so only components are labelled again.
 
@@ -62,39 +62,74 @@ _ORDINAL = np.uint64((1 << 20) - 1)
 _U = np.uint64
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of every row."""
+def shingle_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted distinct shingle hashes of row after row, shingles before each row and in all) of every block."""
     for _, _, data, starts in blocks(column):
         words, rows = word_hashes(data, starts, lower=True)
-        value, at = grams(words, rows, SHINGLE)
-        short = np.diff(rows)
-        for r in range(len(starts) - 1):
-            if short[r] >= SHINGLE:
-                ids = np.sort(value[at[r] : at[r + 1]])
-                yield ids[np.concatenate([[True], ids[1:] != ids[:-1]])]
-            elif short[r]:
-                n = int(short[r])
-                yield grams(words[rows[r] : rows[r + 1]], np.array([0, n]), n)[0]
-            else:
-                yield value[:0]
+        ids, edges = grams(words, rows, SHINGLE)
+        length = np.diff(rows)
+        short = (length > 0) & (length < SHINGLE)
+        if short.any():
+            long, edges = ids, edges + np.concatenate([[0], np.cumsum(short)])
+            whole = np.ones(edges[-1], bool)
+            whole[edges[:-1][short]] = False
+            ids = np.empty(edges[-1], _U)
+            ids[whole] = long
+            for n in range(1, SHINGLE):
+                at = np.flatnonzero(length == n)
+                runs = words[(rows[at][:, None] + np.arange(n)).ravel()]
+                ids[edges[at]] = grams(runs, n * np.arange(len(at) + 1), n)[0]
+        for r in np.flatnonzero(np.diff(edges) > 1):
+            ids[edges[r] : edges[r + 1]].sort()
+        new = np.ones(len(ids), bool)
+        new[1:] = ids[1:] != ids[:-1]
+        new[edges[:-1][np.diff(edges) > 0]] = True
+        yield ids[new], np.concatenate([[0], np.cumsum(new)])[edges]
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every row."""
+    for ids, edges in shingle_blocks(column):
+        for r in range(len(edges) - 1):
+            yield ids[edges[r] : edges[r + 1]]
+
+
+def identities(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit value of each set, as a signed number; 0 for empty ones."""
+    size = np.diff(edges)
+    full = size > 0
+    first = edges[:-1][full]
+    found = np.zeros(len(size), np.int64)
+    if len(first):
+        with np.errstate(over="ignore"):
+            both = np.add.reduceat(ids, first) + np.bitwise_xor.reduceat(ids, first) * _U(0x9E3779B97F4A7C15)
+            found[full] = mix(both + size[full].astype(_U), 33).view(np.int64)
+    return found
 
 
 def identity(ids: np.ndarray) -> int:
-    """A 64-bit value of a set, as a signed number."""
-    with np.errstate(over="ignore"):
-        both = np.array([np.add.reduce(mix(ids, 31)), np.bitwise_xor.reduce(mix(ids, 32))], _U)
-        return int(mix(both[:1] + both[1:] * _U(0x9E3779B97F4A7C15) + _U(len(ids)), 33).view(np.int64)[0])
+    """The value of one set."""
+    return int(identities(ids, np.array([0, len(ids)]))[0])
+
+
+def fine_sketches(ids: np.ndarray, edges: np.ndarray) -> list[bytes | None]:
+    """Of each set one parity bit per shingle, among at least four times as many bits; low hash bits, so it can be folded."""
+    n = np.diff(edges)
+    size = np.where(n > 0, np.maximum(64, 1 << np.frexp(np.maximum(4 * n - 1, 1))[1].astype(np.int64)), 0)
+    at = np.concatenate([[0], np.cumsum(size)])
+    place = (ids & np.repeat(size - 1, n).astype(_U)).astype(np.int64) + np.repeat(at[:-1], n)
+    bits = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8)).tobytes()
+    at >>= 3
+    return [bits[at[r] : at[r + 1]] or None for r in range(len(n))]
 
 
 def fine_sketch(ids: np.ndarray) -> bytes:
-    """One parity bit per shingle, among at least four times as many bits; low hash bits, so it can be folded."""
-    size = max(64, 1 << int(4 * len(ids) - 1).bit_length())
-    bits = np.bincount((ids & _U(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """The sketch of one set."""
+    return fine_sketches(ids, np.array([0, len(ids)]))[0]
 
 
 def fold_to(sketch: np.ndarray, size: int) -> np.ndarray:
-    """A fine sketch (last axis: bytes) brought to size bytes by XOR of its halves."""
+    """A fine sketch (last axis: bytes or words) brought to that size by XOR of its halves."""
     while sketch.shape[-1] > size:
         half = sketch.shape[-1] // 2
         sketch = sketch[..., :half] ^ sketch[..., half:]
@@ -132,79 +167,125 @@ def bands_of(n: int, percent: int = PERCENT) -> list[Band]:
     return [b for b in found if b.differences]
 
 
-def sketch_words(ids: np.ndarray, band: Band) -> tuple[np.ndarray, int]:
-    """(values of the words that say something, margin)."""
-    place = (ids >> _U(32)) * _U(band.words) >> _U(32)  # rises with the sorted hashes
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    content = np.bitwise_xor.reduceat(mix(ids, 41), first)
+def block_words(ids: np.ndarray, edges: np.ndarray, bands: list[Band]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values of the words that say something, the set of each, margins) of sets that are not empty, each in its band."""
+    n = np.diff(edges)
+    width = np.array([b.words for b in bands], _U)
+    place = (ids >> _U(32)) * np.repeat(width, n) >> _U(32)  # rises with the sorted hashes
+    new = np.ones(len(ids), bool)
+    new[1:] = place[1:] != place[:-1]
+    new[edges[:-1]] = True
+    first = np.flatnonzero(new)
+    filled = np.diff(np.searchsorted(first, edges))
+    seeds = np.array([b.level for b in bands], _U) * _U(0x9E3779B97F4A7C15)  # another scrambling for each band
     with np.errstate(over="ignore"):
-        values = mix(content + place[first] * _U(0xD6E8FEB86659FD93), 50 + band.level)
-    margin = len(first) - band.differences_from(len(ids))
-    if margin <= 0:  # too few words hold anything: empty words count too, among sets of this kind
-        empty = np.setdiff1d(np.arange(band.words, dtype=_U), place[first])
-        values = np.concatenate([values, mix(empty, 150 + band.level)])
-    return values, margin
+        content = np.bitwise_xor.reduceat(ids, first) + place[first] * _U(0xD6E8FEB86659FD93)
+        values = [mix(content + np.repeat(seeds, filled), 50)]
+    owner = [np.repeat(np.arange(len(n)), filled)]
+    margin = filled - np.array([b.differences_from(k) for b, k in zip(bands, n.tolist())], np.int64)
+    for r in np.flatnonzero(margin <= 0):  # too few words hold anything: empty words count too, among sets of this kind
+        empty = np.setdiff1d(np.arange(bands[r].words, dtype=_U), place[edges[r] : edges[r + 1]])
+        values.append(mix(empty, 150 + bands[r].level))
+        owner.append(np.full(len(empty), r))
+    return np.concatenate(values), np.concatenate(owner), margin
+
+
+def sketch_words(ids: np.ndarray, band: Band) -> tuple[np.ndarray, int]:
+    """(values of the words that say something, margin) of one set."""
+    values, _, margin = block_words(ids, np.array([0, len(ids)]), [band])
+    return values, int(margin[0])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, names, sketches = [], [], []
-        for ids in shingle_sets(batch.column(1)):
-            sizes.append(len(ids))
-            names.append(identity(ids) if len(ids) else None)
-            sketches.append(fine_sketch(ids) if len(ids) else None)
+        for ids, edges in shingle_blocks(batch.column(1)):
+            sizes.append(np.diff(edges))
+            names.append(identities(ids, edges))
+            sketches += fine_sketches(ids, edges)
+        size, name = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, names))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())],
+            [batch.column(0), batch.column(2), pa.array(size), pa.array(name, mask=size == 0), pa.array(sketches, pa.binary())],
             ["doc_id", "key", "n", "class", "sketch"])
 
 
-#: Sketch words that are packed at once.
-PACKED_WORDS = 1_000_000
+#: Sketch words that are packed at once: so many, or ``PART_WORDS`` for each part, but no more than ``MOST_WORDS``.
+PACKED_WORDS, PART_WORDS, MOST_WORDS = 1_000_000, 1000, 3_000_000
+#: Entries that are packed at once, about; an ordinal has 20 bits.
+ENTRIES = 1 << 19
+#: Bits of a margin beside the level of its band.
+_MARGIN = 25
+
+
+def _binaries(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The numbers between each two edges as one binary value."""
+    offsets = (edges * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _numbers(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all binary values, how many each value holds)."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // np.dtype(kind).itemsize
 
 
 def _packed_words(parts: int, percent: int):
     """Each task's sketch words, packed by the parts they are dealt to."""
+    enough = min(max(PACKED_WORDS, PART_WORDS * parts), MOST_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes among the entries that wait to be packed
-        values, names, levels, margins, counts = [], [], [], [], []
-        total = 0
+        values, owners, names, bands = [], [], [], []
+        total = entries = 0
 
         def packed() -> pa.RecordBatch:
-            word = np.concatenate(values)
-            entry = np.repeat(np.arange(len(names), dtype=np.uint32), counts)
-            part = (word % _U(parts)).astype(np.uint32)
+            word, entry = np.concatenate(values), np.concatenate(owners)
+            name, band = np.concatenate(names), np.concatenate(bands)
+            part = (word % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
-            word, entry, edges = word[order], entry[order], np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [[], [], [], []]
-            table = np.array(names, np.int64), np.column_stack([levels, margins]).astype(np.int32)
-            for p in np.flatnonzero(np.diff(edges)):
-                used, local = np.unique(entry[edges[p] : edges[p + 1]], return_inverse=True)
-                rows[0].append(int(p))
-                rows[1].append(np.sort(word[edges[p] : edges[p + 1]] & ~_ORDINAL | local.astype(_U)).tobytes())
-                rows[2].append(table[0][used].tobytes())
-                rows[3].append(table[1][used].tobytes())
-            for held in (seen, values, names, levels, margins, counts):
+            word, entry, part = word[order], entry[order], part[order]
+            new = np.ones(len(word), bool)  # an entry of its part, whose words mostly follow each other
+            new[1:] = (entry[1:] != entry[:-1]) | (part[1:] != part[:-1])
+            used = np.flatnonzero(new)
+            opens = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            edges, at = np.append(opens, len(word)), np.append(np.searchsorted(used, opens), len(used))
+            local = np.cumsum(new) - 1 - np.repeat(at[:-1], np.diff(edges))
+            for held in (seen, values, owners, names, bands):
                 held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "words", "classes", "bands"])
+                [pa.array(part[opens], pa.int32()), _binaries(word & ~_ORDINAL | local.astype(_U), edges),
+                 _binaries(name[entry[used]], at), _binaries(band[entry[used]], at)], ["part", "words", "classes", "bands"])
 
         for batch in batches:
-            for ids in shingle_sets(batch.column(0)):
-                if not len(ids) or (name := identity(ids)) in seen:
-                    continue
-                seen.add(name)
-                for band in bands_of(len(ids), percent):
-                    word, margin = sketch_words(ids, band)
+            for ids, edges in shingle_blocks(batch.column(0)):
+                n, name = np.diff(edges), identities(ids, edges)
+                fresh = []
+                for r in np.flatnonzero(n).tolist():
+                    if name[r] not in seen:
+                        seen.add(name[r])
+                        fresh.append(r)
+                found = [(r, b) for r in fresh for b in bands_of(int(n[r]), percent)]
+                for own in (True, False):  # a set in its own band, then in the next one
+                    some = [(r, b) for r, b in found if (b.level == int(n[r]).bit_length() - 1) == own]
+                    if not some:
+                        continue
+                    rows = np.array([r for r, _ in some])
+                    inside = np.zeros(len(n), bool)
+                    inside[rows] = True
+                    word, owner, margin = block_words(
+                        ids[np.repeat(inside, n)], np.concatenate([[0], np.cumsum(n[rows])]), [b for _, b in some])
                     values.append(word)
-                    counts.append(len(word))
-                    names.append(name)
-                    levels.append(band.level)
-                    margins.append(margin)
+                    owners.append(owner + entries)
+                    names.append(name[rows])
+                    level = np.array([b.level for _, b in some], np.int64)
+                    bands.append((level << _MARGIN | np.clip(margin, 0, (1 << _MARGIN) - 1)).astype(np.int32))
                     total += len(word)
-                if total > PACKED_WORDS:
+                    entries += len(rows)
+                if total > enough or entries > ENTRIES:
                     yield packed()
-                    total = 0
+                    total = entries = 0
         if total:
             yield packed()
 
@@ -213,19 +294,16 @@ def _packed_words(parts: int, percent: int):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs of classes with an equal word (kind 0), and the entries of hot words (kind 1)."""
-    word, name, band = [], [], []
-    for words, classes, bands in zip(table["words"], table["classes"], table["bands"]):
-        packed = np.frombuffer(words.as_py(), _U)
-        at = (packed & _ORDINAL).astype(np.int64)
-        word.append(packed >> _U(20))
-        name.append(np.frombuffer(classes.as_py(), np.int64)[at])
-        band.append(np.frombuffer(bands.as_py(), np.int32).reshape(-1, 2)[at])
-    word, name, band = np.concatenate(word), np.concatenate(name), np.concatenate(band)
+    (packed, words), (classes, held), (bands, _) = (_numbers(table[c], k) for c, k in (("words", _U), ("classes", np.int64), ("bands", np.int32)))
+    word = packed >> _U(20)
     order = np.argsort(word)
-    word, name, band = word[order], name[order], band[order]
+    word = word[order]
     same = word[1:] == word[:-1]
     shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    word, name, band = word[shared], name[shared], band[shared]
+    word, order = word[shared], order[shared]
+    source = np.searchsorted(np.cumsum(words), order, side="right")
+    entry = (packed[order] & _ORDINAL).astype(np.int64) + (np.cumsum(held) - held)[source]
+    name, band = classes[entry], bands[entry]
     order = np.lexsort((name, word))
     word, name, band = word[order], name[order], band[order]
     once = np.ones(len(word), bool)  # a class comes from every batch that holds a copy
@@ -251,8 +329,8 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({
         "kind": pa.array(np.concatenate([np.zeros(len(a), np.int32), np.ones(int(hot.sum()), np.int32)])),
         "a": pa.array(np.concatenate([a, name[hot]])), "b": pa.array(np.concatenate([b, word[hot].view(np.int64)])),
-        "level": pa.array(np.concatenate([np.zeros(len(a), np.int32), band[hot, 0]])),
-        "margin": pa.array(np.concatenate([np.zeros(len(a), np.int32), band[hot, 1]])),
+        "level": pa.array(np.concatenate([np.zeros(len(a), np.int32), band[hot] >> _MARGIN])),
+        "margin": pa.array(np.concatenate([np.zeros(len(a), np.int32), band[hot] & ((1 << _MARGIN) - 1)])),
     })
 
 
@@ -261,12 +339,17 @@ def _near_enough(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for m, x, n, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5)):
-                s, t = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
-                size = min(len(s), len(t))
-                differs = int(np.bitwise_count(fold_to(s, size) ^ fold_to(t, size)).sum())
-                keep.append(differs * (100 + percent) <= (m + n) * (100 - percent))
+            both, left, right = (batch.column(2).to_numpy() + batch.column(4).to_numpy(), batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            alike: dict[tuple[int, int], list[int]] = {}  # pairs by the sizes of their sketches
+            for at, (x, y) in enumerate(zip(left, right)):
+                alike.setdefault((len(x), len(y)), []).append(at)
+            differs = np.zeros(len(both), np.int64)
+            for sizes, rows in alike.items():
+                s, t = (
+                    fold_to(np.frombuffer(b"".join([side[r] for r in rows]), _U).reshape(len(rows), -1), min(sizes) // 8)
+                    for side in (left, right))
+                differs[rows] = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
+            keep = differs * (100 + percent) <= both * (100 - percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -299,28 +382,58 @@ def _linked(percent: int):
     return run
 
 
+def _sketches_of(sketches: list[bytes], size: int) -> np.ndarray:
+    """The sketches brought to one size, a row for each word of 64 bits."""
+    by: dict[int, list[int]] = {}
+    for at, s in enumerate(sketches):
+        by.setdefault(len(s), []).append(at)
+    out = np.empty((size // 8, len(sketches)), _U)
+    for length, at in by.items():
+        out[:, at] = fold_to(np.frombuffer(b"".join([sketches[k] for k in at]), _U).reshape(len(at), length // 8), size // 8).T
+    return out
+
+
 def _cells(percent: int):
-    """A spanning forest of the links between different components among the classes of one cell."""
+    """A spanning forest of the links between different components among the classes of one cell.
+
+    A class meets those that are no smaller than it and not too large to be linked, so sketches of like
+    size are compared: first folded to a quarter, and what is near enough then as a whole.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table["n"].to_numpy(), kind="stable"))
         side, name, comp, size = (table[c].to_numpy() for c in ("side", "a", "component", "n"))
-        raw = [np.frombuffer(s.as_py(), np.uint8) for s in table["sketch"]]
-        sets = [np.frombuffer(s.as_py(), _U) for s in table["ids"]]
-        width = min(map(len, raw))
-        bits = np.stack([fold_to(s, width) for s in raw]).view(_U if width % 8 == 0 else np.uint8)
+        raw, ids = table["sketch"].to_pylist(), table["ids"]
+        halves = bool((side == 1).any())
         _, tree = np.unique(comp, return_inverse=True)  # components, joined as links are found
-        rows = np.flatnonzero(side == 0)
-        cols = np.flatnonzero(side == 1) if (side == 1).any() else rows
+        length = np.array([len(s) for s in raw])
+        ends = np.searchsorted(percent * size, 100 * size, side="right")  # of the classes not too large
         left, right = [], []  # places of the linked classes
-        for r in rows:
-            near = cols[tree[cols] != tree[r]]
-            differs = np.bitwise_count(bits[near] ^ bits[r]).sum(axis=1)
-            near = near[differs * (100 + percent) <= (size[near] + size[r]) * (100 - percent)]
-            for c in near:
-                if tree[c] != tree[r] and linked(sets[r], sets[c], percent):
-                    left.append(r)
-                    right.append(c)
-                    tree[tree == tree[c]] = tree[r]
+        for width in np.unique(length).tolist():
+            start, stop = np.searchsorted(length, [width, width + 1]).tolist()
+            bits = _sketches_of(raw[start : ends[stop - 1]], width)
+            rough = fold_to(bits.T, max(1, width // 32)).T.copy()
+            for r in range(start, stop):
+                apart = tree[r + 1 : ends[r]] != tree[r]
+                if halves:
+                    apart &= side[r + 1 : ends[r]] != side[r]
+                if not apart.any():
+                    continue
+                allowed = (size[r + 1 : ends[r]] + size[r]) * (100 - percent) // (100 + percent)
+                at, others = r - start, slice(r + 1 - start, ends[r] - start)
+                differs = np.zeros(len(apart), np.int64)
+                for word in rough:
+                    differs += np.bitwise_count(word[others] ^ word[at])
+                near = np.flatnonzero(apart & (differs <= allowed))
+                if not len(near):
+                    continue
+                whole = np.bitwise_count(bits[:, near + others.start] ^ bits[:, at, None]).sum(axis=0, dtype=np.int64)
+                near = near[whole <= allowed[near]] + r + 1
+                for c in near.tolist():
+                    if tree[c] != tree[r] and linked(*(np.frombuffer(ids[k].as_py(), _U) for k in (r, c)), percent):
+                        left.append(r)
+                        right.append(c)
+                        tree[tree == tree[c]] = tree[r]
         a, b = np.array(left, np.int64), np.array(right, np.int64)
         return pa.table({"a": name[a], "b": name[b], "component_a": comp[a], "component_b": comp[b]})
 

@@ -41,6 +41,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER_VALUES = _BYTE_VALUES[_LOWER]
 
 
 @lru_cache(maxsize=2)
@@ -100,7 +101,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = False, space
     up, down = _powers(1 << (size - 1).bit_length())
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(_BYTE_VALUES[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
+        value = (_LOWER_VALUES if lower else _BYTE_VALUES)[data]
+        value *= up[: len(data)]
+        np.cumsum(value, out=total[1:])
         return mix((total[end] - total[begin]) * down[begin]), rows
 
 

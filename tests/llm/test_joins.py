@@ -171,6 +171,80 @@ def test_a_cell_gives_a_spanning_forest():
     assert found.num_rows == 29 and set(found["a"].to_pylist()) | set(found["b"].to_pylist()) == set(range(30))
 
 
+def test_classes_that_are_not_linked_are_told_apart_by_sketches(monkeypatch):
+    """A small set in a cell must not make the sketches of all others too short to tell them apart."""
+    import pyarrow as pa
+
+    draw, calls, linked = np.random.default_rng(2), [], ngram_jaccard.linked
+    fresh = lambda n: np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+    base = fresh(400)
+    sets = [fresh(n) for n in (4, 60, 250, *[400] * 120, 900)] + [base, np.union1d(base, fresh(40)), base[:330], fresh(6000)]
+    order = draw.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    monkeypatch.setattr(ngram_jaccard, "linked", lambda *a: calls.append(1) or linked(*a))
+    for sides in (np.zeros(len(sets)), draw.integers(0, 2, len(sets))):
+        table = pa.table({
+            "side": pa.array(sides.astype(np.int32)), "a": pa.array(range(len(sets))), "component": pa.array(range(len(sets))), "n": pa.array([len(s) for s in sets]),
+            "sketch": pa.array([ngram_jaccard.fine_sketch(s) for s in sets]), "ids": pa.array([s.tobytes() for s in sets])})
+        found = ngram_jaccard._cells(75)(table)
+        near = [k for k, at in enumerate(order) if 124 <= at <= 126]
+        want = [(x, y) for x in near for y in near if x < y and linked(sets[x], sets[y], 75) and (sides[x] != sides[y] or not sides.any())]
+        assert found.num_rows == min(2, len(want)) and {tuple(sorted(x)) for x in zip(found["a"].to_pylist(), found["b"].to_pylist())} <= set(want)
+    assert len(calls) < 10  # of 8,000 pairs
+
+
+@pytest.mark.parametrize("percent", [75, 40])
+def test_blocks_and_packed_words_equal_single_sets(monkeypatch, texts, percent):
+    import pyarrow as pa
+
+    monkeypatch.setattr("postlake.llm.tokens.BLOCK_BYTES", 3000)
+    monkeypatch.setattr(ngram_jaccard, "PACKED_WORDS", 900)
+    monkeypatch.setattr(ngram_jaccard, "PART_WORDS", 1)
+    column = pa.array(texts)
+    sets = [s.copy() for s in ngram_jaccard.shingle_sets(column)]
+    assert [len(s) for s in sets] == [len(plain_set(t)) for t in texts]
+    signed = [r for b in ngram_jaccard._signatures([pa.record_batch([column, column, column], ["a", "b", "c"])]) for r in b.to_pylist()]
+    for r, s in zip(signed, sets):
+        assert r["n"] == len(s)
+        assert (r["class"], r["sketch"]) == ((ngram_jaccard.identity(s), ngram_jaccard.fine_sketch(s)) if len(s) else (None, None))
+    classes = {ngram_jaccard.identity(s): s for s in sets if len(s)}
+    assert len(classes) == len({frozenset(plain_set(t)) for t in texts} - {frozenset()})
+    by, margins = {}, {}
+    for name, s in classes.items():
+        for band in ngram_jaccard.bands_of(len(s), percent):
+            words, margins[name, band.level] = ngram_jaccard.sketch_words(s, band)
+            for w in words.tolist():
+                by.setdefault((band.level, w), set()).add(name)
+    pairs = {(x, y) for held in by.values() if len(held) <= ngram_jaccard.HOT for x in held for y in held if x < y}
+    hot = sorted((x, level) for (level, _), held in by.items() if len(held) > ngram_jaccard.HOT for x in held)
+    batches = [pa.record_batch([pa.array(texts[k : k + 100], pa.string())], ["text"]) for k in range(0, len(texts), 100)]
+    packed = pa.Table.from_batches(list(ngram_jaccard._packed_words(3, percent)(batches)))
+    assert packed.num_rows > 9
+    met = [r for p in range(3) for r in ngram_jaccard._meet(packed.filter(pa.compute.equal(packed["part"], p))).to_pylist()]
+    assert {(r["a"], r["b"]) for r in met if r["kind"] == 0} == pairs
+    assert sorted((r["a"], r["level"]) for r in met if r["kind"] == 1) == hot
+    assert all(r["margin"] == max(0, margins[r["a"], r["level"]]) for r in met if r["kind"] == 1)
+
+
+def test_pairs_pass_by_their_sketches_in_batches():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64)) for n in (20, 20, 90, 500)]
+    sets += [s[: len(s) * 9 // 10] for s in sets]
+    pairs = [(x, y) for x in range(8) for y in range(8) if x < y]
+    n, sketch = [len(s) for s in sets], [ngram_jaccard.fine_sketch(s) for s in sets]
+    batch = pa.record_batch([pa.array(x) for x in zip(*[(a, b, n[a], sketch[a], n[b], sketch[b]) for a, b in pairs])], ["a", "b", "n_a", "s_a", "n_b", "s_b"])
+    kept = {(r["a"], r["b"]) for b in ngram_jaccard._near_enough(75)([batch]) for r in b.to_pylist()}
+
+    def differ(x, y):
+        s, t = (np.frombuffer(k, np.uint8) for k in (x, y))
+        size = min(len(s), len(t))
+        return int(np.bitwise_count(ngram_jaccard.fold_to(s, size) ^ ngram_jaccard.fold_to(t, size)).sum())
+
+    assert kept == {(a, b) for a, b in pairs if differ(sketch[a], sketch[b]) * 175 <= (n[a] + n[b]) * 25} >= {(k, k + 4) for k in range(4)}
+
+
 def test_scores_equal_a_direct_model(spark, texts):
     texts = texts[:260]
     words = [plain_words(t) for t in texts]
